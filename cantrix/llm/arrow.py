@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,18 +61,32 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a local one only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "/tmp/cantrix-checkpoints"
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+    """The shared folder of ``spark.checkpoint.dir``; one of this machine only where the session names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/cantrix-checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder."""
+    """Cut the lineage by a table in the shared folder, which goes when the driver ends or by ``drop``.
+
+    A written table has plain statistics and no constraints, which ``checkpoint()`` carries along
+    and which grow with every step of an iteration.
+    """
     spark = df.sparkSession
-    path = scratch(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint()
+    path = f"{scratch(spark)}/cantrix-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Remove the table behind a DataFrame of ``cut`` that nothing reads any more."""
+    _remove(df.sparkSession, df._cut_path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # at exit the JVM may be gone, and the folder with it
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
