@@ -30,16 +30,17 @@ def grouped_by_pause(spans: DataFrame, by: list[str], pause: float, order: list[
 
 
 def clipped_length(start: Column, stop: Column, low: Column, high: Column) -> Column:
-    return F.greatest(F.least(stop, high) - F.greatest(start, low), F.lit(0))
+    """Common length of two intervals; 0 where a bound is null."""
+    return F.when(start.isNotNull() & stop.isNotNull(), F.greatest(F.least(stop, high) - F.greatest(start, low), F.lit(0))).otherwise(0)
 
 
 def covered(windows: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
     """Per window: covered and uncovered length, by the union of the spans clipped to it."""
-    union = merged(spans, by).select(*by, F.col("start").alias("_s"), F.col("stop").alias("_e"))
+    union = merged(spans, by).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("start").alias("_s"), F.col("stop").alias("_e"))
     hit = (F.col("_s") < F.col("stop")) & (F.col("_e") > F.col("start"))
-    both = windows.join(union, [*(windows[c].eqNullSafe(union[c]) for c in by), hit], "left")
+    both = windows.join(union, [*(F.col(c) == F.col(f"_{c}") for c in by), hit], "left")
     length = F.sum(clipped_length(F.col("_s"), F.col("_e"), F.col("start"), F.col("stop")))
-    out = both.groupBy(*(windows[c] for c in by), "start", "stop").agg(F.coalesce(length, F.lit(0)).alias("covered"))
+    out = both.groupBy(*by, "start", "stop").agg(F.coalesce(length, F.lit(0)).alias("covered"))
     return out.withColumn("uncovered", F.col("stop") - F.col("start") - F.col("covered"))
 
 
@@ -65,8 +66,8 @@ def only_in(a: DataFrame, b: DataFrame, by: list[str], least: float = 0) -> Data
 def overlapping(rows: DataFrame, spans: DataFrame, by: list[str], tolerance: float = 0, how: str = "left_semi") -> DataFrame:
     """Rows that overlap some span by more than ``tolerance`` (or, with left_anti, none)."""
     s = spans.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("start").alias("_s"), F.col("stop").alias("_e"))
-    on = [rows[c] == s[f"_{c}"] for c in by]
-    return rows.join(s, [*on, rows["start"] < s["_e"] - tolerance, rows["stop"] > s["_s"] + tolerance], how)
+    on = [F.col(c) == F.col(f"_{c}") for c in by]
+    return rows.join(s, [*on, F.col("start") < F.col("_e") - tolerance, F.col("stop") > F.col("_s") + tolerance], how)
 
 
 def pieces(spans: DataFrame, by: list[str], length: int, overlap: int) -> DataFrame:

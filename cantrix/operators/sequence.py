@@ -40,8 +40,8 @@ def interpolated(rows: DataFrame, by: list[str], order: str, typical_floor: floa
     base = F.when(F.col("_left").isNull(), F.col("_right") - (n - k) * F.col("_usual")).when(F.col("_right").isNull(), F.col("_left") + k * F.col("_usual")).otherwise(F.col("_left") + k * share)
     step = F.when(F.col("_left").isNull() | F.col("_right").isNull(), F.col("_usual")).otherwise(share)
     filled = rows.withColumn("_base", base).withColumn("_step", step)
-    begin = F.when(F.col("_known"), F.col("start")).otherwise(F.greatest(F.lit(0.0), F.col("_base")))
-    end = F.when(F.col("_known"), F.col("stop")).otherwise(F.greatest(F.lit(0.0), F.col("_base") + F.col("_step")))
+    begin = F.when(F.col("_known"), F.col("start")).when(F.col("_base").isNotNull(), F.greatest(F.lit(0.0), F.col("_base")))
+    end = F.when(F.col("_known"), F.col("stop")).when(F.col("_base").isNotNull(), F.greatest(F.lit(0.0), F.col("_base") + F.col("_step")))
     return filled.withColumn("start", begin).withColumn("stop", end).drop("_usual", "_left", "_right", "_known", "_run", "_base", "_step")
 
 

@@ -1 +1 @@
-
+"""Queries over the driver's tables; importing a module registers its queries."""

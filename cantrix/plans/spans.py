@@ -136,15 +136,15 @@ GAPPED = f"""{SPANS}, g as (select track, id, row_number() over (partition by tr
 l as (select g.*, last_value(stop ignore nulls) over (partition by track order by pos) as l, first_value(start ignore nulls) over (partition by track order by pos rows between current row and unbounded following) as r,
 case when start is not null or lag(start) over (partition by track order by pos) is not null or pos = 1 then 1 else 0 end as fresh from g),
 p as (select *, sum(fresh) over (partition by track order by pos) as run from l), n as (select p.*, usual, count(*) over (partition by p.track, run) as n, row_number() over (partition by p.track, run order by pos) - 1 as k from p join u using (track))
-select track, id, round(case when start is not null then start else greatest(0.0, case when l is null then r - (n - k) * usual when r is null then l + k * usual else l + k * ((r - l) / n) end) end, 3) as start,
-round(case when start is not null then stop else greatest(0.0, case when l is null then r - (n - k) * usual + usual when r is null then l + k * usual + usual else l + k * ((r - l) / n) + (r - l) / n end) end, 3) as stop from n""")
+select track, id, cast(floor(1000 * case when start is not null then start else greatest(0.0, case when l is null then r - (n - k) * usual when r is null then l + k * usual else l + k * ((r - l) / n) end) end + 0.5) as bigint) as start,
+cast(floor(1000 * case when start is not null then stop else greatest(0.0, case when l is null then r - (n - k) * usual + usual when r is null then l + k * usual + usual else l + k * ((r - l) / n) + (r - l) / n end) end + 0.5) as bigint) as stop from n""")
 def interpolated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans without times get them from their known neighbours."""
     s = spans(spark, sf_dir)
     known = F.col("label").isin("view", "error")
     g = s.withColumn("pos", F.row_number().over(Window.partitionBy("track").orderBy("start", "id")))
     g = g.select("track", "id", "pos", F.when(known, F.col("start") / 1000.0).alias("start"), F.when(known, F.col("stop") / 1000.0).alias("stop"))
-    return sequence.interpolated(g, ["track"], "pos").select("track", "id", F.round("start", 3).alias("start"), F.round("stop", 3).alias("stop"))
+    return sequence.interpolated(g, ["track"], "pos").select("track", "id", *(F.floor(1000 * F.col(c) + 0.5).alias(c) for c in ("start", "stop")))
 
 
 @query(f"""with {SPANS}, d as (select track, label, stop - start as d from spans), m as (select track, label, count(*) as n, median(d) as median from d group by all having count(*) >= 3),
