@@ -38,6 +38,7 @@ def add_columns(df: DataFrame, text: str, keep: list[str], schema: str, of: Call
                 made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip((got[n] for n in names), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*own, *made], [*keep, *names])
 
+    small_batches(df.sparkSession)
     return df.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").cast("string").alias(TEXT)).mapInArrow(run, out)
 
 
@@ -48,6 +49,13 @@ def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def small_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Arrow batches of whole texts are held several times over; Spark's default number of rows is lowered, another is kept."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n: the documented folds."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

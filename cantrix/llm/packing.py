@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import TEXT, cut
+from .arrow import TEXT, cut, small_batches
 from .bpe import shared
 from .textbuf import chunks
 
@@ -95,6 +95,7 @@ def best_fit_decreasing(counts: dict[int, int], window: int) -> tuple[list[tuple
 def pieces(docs: DataFrame, window: int, text: str, key: str, vocabulary: str | None, with_ids: bool) -> DataFrame:
     """Full windows and the tail of each document; ``ids`` only on request."""
     kind = docs.schema[key].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared(vocabulary)

@@ -1,7 +1,7 @@
 """Arrow string columns as flat numpy buffers, and vectorised word tables over them.
 
 Every text operator of this subpackage reads whole texts through here. A column is cut into
-chunks of a few megabytes (always whole texts), so peak memory is a fixed multiple of
+chunks of a megabyte or so (always whole texts), so peak memory is a fixed multiple of
 ``CHUNK_BYTES`` or of the longest single text, whichever is larger.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 
 #: The separators of ``[^\x20\x09-\x0D]+``.

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import TEXT, add_columns, crc_mod, sums
+from .arrow import TEXT, add_columns, crc_mod, small_batches, sums
 from .textbuf import LOWER, NOT_ALNUM, Texts, chunks, span_hash, splitmix, words
 
 
@@ -67,6 +67,8 @@ def _sample(docs: DataFrame, labels: DataFrame, setting: Setting, rows, text: st
     known = known.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id", "_label").limit(setting.fit_rows)
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for b in batches:
             for t in chunks(b.column(1)):

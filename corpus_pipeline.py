@@ -6,12 +6,10 @@ columns of ``documents``; the last returns packed pieces.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantrix.llm.arrow import scratch
+from cantrix.llm.arrow import cut, drop
 from cantrix.llm.jaccard import jaccard_components
 from cantrix.llm.line_dedup import line_dedup
 from cantrix.llm.mixing import mix
@@ -66,11 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
+    """All stages over ``documents``, each written as Parquet to the shared folder and read again; read ones go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
-        out = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+    for number, (_, stage) in enumerate(STAGES):
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        if number:
+            drop(before)
     return docs
