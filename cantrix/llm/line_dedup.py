@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A host's boilerplate lines are at most its lines a page over the ratio; this bounds the table of all hosts.
+from .arrow import cut
+
+#: The table of boilerplate lines is broadcast up to this measured size, else joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -37,7 +39,10 @@ def line_dedup(pages: DataFrame, ratio: float = 0.05, least_pages: int = 10, tex
     host. Repeated rows are pages of their own. An empty table gives no rows.
     """
     pages = pages.drop("lines_dropped")  # a column of that name is replaced
-    hosts = boilerplate(pages, ratio, least_pages, text, host).select(F.col("host").alias("_dedup_host"), F.col("marks").alias("_dedup_marks"))
+    # written first: the join then sees a plain small table, and Spark can split a large host's pages
+    hosts = cut(boilerplate(pages, ratio, least_pages, text, host).select(F.col("host").alias("_dedup_host"), F.col("marks").alias("_dedup_marks")))
+    size = hosts.agg(F.sum(8 * F.size("_dedup_marks") + 64)).first()[0] or 0
+    hosts = F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts
     column = F.col(f"`{text}`").cast("string")
     every = F.split(column, "\n", -1)
     keep = F.filter(every, lambda x: _blank(x) | ~F.array_contains(F.col("_dedup_marks"), F.xxhash64(x)))
