@@ -8,9 +8,11 @@ candidates is larger than that of the longer prefix: with a larger ``l`` a candi
 more prefix tokens before it is verified (the smaller ``l`` of a pair holds).
 
 Equal sets are one node from the start. Posting lists up to ``LIST`` nodes are counted pair by
-pair; members of longer lists only join a candidate group through the list's first member. Groups
-are verified exactly, all their pairs, in blocks of ``BLOCK`` nodes, so that no list, group or key
-lands in one task, and only links that connect something new leave a task.
+pair; members of longer lists join a group through the list's first member, and a group's pairs are
+all verified, in blocks of ``BLOCK`` nodes. Other candidates are verified by connected part where
+that has no more than ``BLOCK`` nodes, else around one end of each pair. So no list, group or key
+lands in one task, a set is sent about once for each task that needs it, and only links that
+connect something new leave a task.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import KEY, TEXT, cut, drop, sums
+from .arrow import KEY, TEXT, cut, drop, small_batches, sums
 from .components import components
 from .textbuf import U64, Texts, chunks, spans, splitmix, words
 
@@ -81,13 +83,14 @@ def _map(docs: DataFrame, text: str, keys: list[str], schema: str, of) -> DataFr
         if end:
             yield from end()
 
+    small_batches(docs.sparkSession)
     return docs.select(*(F.col(f"`{k}`") for k in keys), F.col(f"`{text}`").cast("string").alias(TEXT)).mapInArrow(run, schema)
 
 
 class _Frequent:
-    """Tokens that occur twice or more within some millions of tokens of a task, with that count."""
+    """Tokens that occur twice or more within a million and a half tokens of a task, with that count."""
 
-    FLUSH = 3_000_000
+    FLUSH = 1_500_000
 
     def __init__(self) -> None:
         self.held, self.n = [], 0
@@ -200,7 +203,7 @@ def pairs_of(token: np.ndarray, node: np.ndarray, n: np.ndarray, need: np.ndarra
 
 
 def candidates(docs: DataFrame, text: str, percent: int, table: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """Edges (u, v) between digests that share enough prefix tokens or a long list."""
+    """Edges (u, v, hot) between digests that share enough prefix tokens, or (hot) a long list."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(table)
 
@@ -248,7 +251,7 @@ def candidates(docs: DataFrame, text: str, percent: int, table: tuple[np.ndarray
     index = _map(docs, text, [], "bucket int, tokens binary, nodes binary, sizes binary, needs binary", Index)
     listed = index.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(pairs, "u bigint, v bigint, shared bigint, need bigint")
     enough = listed.groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need")
-    return enough.select("u", "v")
+    return enough.select("u", "v", (F.col("need") == 0).alias("hot"))
 
 
 def links_of(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -295,11 +298,44 @@ def links_of(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> l
     return out
 
 
-def verified(docs: DataFrame, text: str, percent: int, nodes: DataFrame) -> DataFrame:
-    """Links (u, v) that connect the nodes (node, root) of each candidate group."""
+def _split(count: Column) -> Column:
+    return F.ceil(count / BLOCK).cast("int")
+
+
+def tasks_of(edges: DataFrame) -> DataFrame:
+    """Which node takes part in which verification: node, kind, root, i, j, side.
+
+    kind 0: blocks i and j of a group of long lists; kind 1: a small connected part; kind 2: the
+    neighbours of one end, in parts of a block.
+    """
+    groups = components(edges.filter("hot").select("u", "v"))
+    size = groups.groupBy("root").agg(_split(F.count(F.lit(1))).alias("blocks"))
+    groups = cut(groups.join(size, "root"))
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
+    blocks = groups.select("node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    blocks = blocks.select("node", F.lit(0).alias("kind"), "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"))
+
+    of_u, of_v = (groups.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "uv")
+    rest = edges.filter("not hot").select("u", "v").join(of_u, "u", "left").join(of_v, "v", "left")
+    rest = cut(rest.filter("u_root is null or v_root is null or u_root != v_root").select("u", "v"))
+    parts = components(rest)
+    members = parts.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    parts = cut(parts.join(members, "root"))
+    small = parts.filter(F.col("members") <= BLOCK).select("node", F.lit(1).alias("kind"), "root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("side"))
+
+    large = rest.join(parts.filter(F.col("members") > BLOCK).select(F.col("node").alias("u")), "u", "left_semi")
+    degree = large.groupBy("u").agg(_split(F.count(F.lit(1))).alias("blocks"))
+    star = large.join(degree, "u").select(F.col("u").alias("root"), "v", F.pmod(F.xxhash64("v", F.lit(7)), F.col("blocks")).cast("int").alias("i"))
+    around = star.select(F.col("v").alias("node"), "root", "i").unionByName(star.select(F.col("root").alias("node"), "root", "i").distinct())
+    around = around.select("node", F.lit(2).alias("kind"), "root", "i", F.lit(0).alias("j"), F.lit(False).alias("side"))
+    return blocks.unionByName(small).unionByName(around)
+
+
+def verified(docs: DataFrame, text: str, percent: int, edges: DataFrame) -> DataFrame:
+    """Links (u, v) that connect the nodes of the candidate edges."""
     spark = docs.sparkSession
-    size = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    nodes = cut(nodes.join(size, "root").select("node", "root", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
+    dealt = cut(tasks_of(edges))
+    nodes = dealt.select("node").distinct()
     bits = 1 << max(16, min(FILTER_BITS.bit_length() - 1, int(16 * max(nodes.count(), 1)).bit_length()))
     words_ = nodes.select(F.pmod(F.xxhash64("node"), F.lit(bits)).alias("bit")).groupBy(F.floor(F.col("bit") / 32).cast("bigint").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("mask"))
     got = words_.toArrow()  # a filter of fixed size
@@ -319,12 +355,8 @@ def verified(docs: DataFrame, text: str, percent: int, nodes: DataFrame) -> Data
             at = np.flatnonzero(self.once(digest, wanted))
             yield pa.RecordBatch.from_arrays([pa.array(digest[at]), pa.array([h[first[i] : first[i + 1]].tobytes() for i in at.tolist()], pa.binary())], ["node", "tokens"])
 
-    sets = _map(docs, text, [], "node bigint, tokens binary", Sets).join(nodes, "node")
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sets.select("node", "tokens", "root", own.alias("own"), other.alias("other"))
-    dealt = dealt.select("node", "tokens", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"))
-    grouped = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    sets = _map(docs, text, [], "node bigint, tokens binary", Sets).join(dealt, "node")
+    grouped = sets.repartition("kind", "root", "i", "j").sortWithinPartitions("kind", "root", "i", "j", "node")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -332,14 +364,14 @@ def verified(docs: DataFrame, text: str, percent: int, nodes: DataFrame) -> Data
         def flush():
             node = list(held)
             sets = [np.frombuffer(held[x][0], U64) for x in node]
-            side = np.array([held[x][1] for x in node]) if key[1] != key[2] else None
+            side = np.array([held[x][1] for x in node]) if key[0] == 0 and key[2] != key[3] else None
             got = links_of(sets, side, percent)
             return pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in got], pa.int64()), pa.array([node[j] for _, j in got], pa.int64())], ["u", "v"])
 
         for b in batches:
-            node, root, i, j, side = (b.column(x).to_pylist() for x in ("node", "root", "i", "j", "side"))
+            node, kind, root, i, j, side = (b.column(x).to_pylist() for x in ("node", "kind", "root", "i", "j", "side"))
             for k in range(len(b)):
-                own = (root[k], i[k], j[k])
+                own = (kind[k], root[k], i[k], j[k])
                 if own != key:
                     if len(held) > 1:
                         yield flush()
@@ -382,8 +414,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, text: str = "text", k
 
     rows = cut(_map(docs, text, [key], f"{KEY} {kind}, n_shingles bigint, digest bigint", Sizes))
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = components(candidates(docs, text, percent, frequent(docs, text), buckets))
-    links = components(verified(docs, text, percent, groups))
+    edges = cut(candidates(docs, text, percent, frequent(docs, text), buckets))
+    links = components(verified(docs, text, percent, edges))
 
     least = rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(KEY).alias("least"))
     known = least.join(links.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
