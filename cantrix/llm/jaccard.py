@@ -8,11 +8,11 @@ candidates is larger than that of the longer prefix: with a larger ``l`` a candi
 more prefix tokens before it is verified (the smaller ``l`` of a pair holds).
 
 Equal sets are one node from the start. Posting lists up to ``LIST`` nodes are counted pair by
-pair; members of longer lists join a group through the list's first member, and a group's pairs are
-all verified, in blocks of ``BLOCK`` nodes. Other candidates are verified by connected part where
-that has no more than ``BLOCK`` nodes, else around one end of each pair. So no list, group or key
-lands in one task, a set is sent about once for each task that needs it, and only links that
-connect something new leave a task.
+pair; members of longer lists join a group through the list's first member. A group is verified in blocks
+of ``BLOCK`` nodes, each with the group's pivots; pairs of one list that this leaves in different
+components are then verified too, block by block, so that copies that found each other through a
+pivot cost no pairs. Other candidates are verified by connected part where that has no more than
+``BLOCK`` nodes, else around one end of each pair. No list, group or key lands in one task.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import KEY, TEXT, cut, drop, small_batches, sums
@@ -33,6 +33,8 @@ from .textbuf import U64, Texts, chunks, spans, splitmix, words
 LIST = 64
 #: Nodes of a group that one side of a task verifies.
 BLOCK = 128
+#: Nodes of a group of long lists that all its blocks are compared with.
+PIVOTS = 12
 #: Tokens of the broadcast table of frequent tokens (12 bytes each).
 TABLE = 400_000
 #: Bits of the broadcast filter of active nodes, at most: 16 MB. A full filter only costs time.
@@ -166,7 +168,7 @@ class _Once:
         return out
 
 
-def pairs_of(token: np.ndarray, node: np.ndarray, n: np.ndarray, need: np.ndarray, percent: int, most: int = LIST) -> tuple[np.ndarray, ...]:
+def pairs_of(token: np.ndarray, node: np.ndarray, n: np.ndarray, need: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, ...]:
     """From index entries, (a, b, shared, need) of pairs in short lists; long lists give need 0 to their first node."""
     order = np.lexsort((node, token))
     token, node, n, need = token[order], node[order], n[order], need[order]
@@ -205,7 +207,7 @@ def pairs_of(token: np.ndarray, node: np.ndarray, n: np.ndarray, need: np.ndarra
 def candidates(docs: DataFrame, text: str, percent: int, table: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
     """Edges (u, v, hot) between digests that share enough prefix tokens, or (hot) a long list."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(table)
+    shared, most = spark.sparkContext.broadcast(table), LIST
 
     class Index:
         def __init__(self) -> None:
@@ -233,7 +235,7 @@ def candidates(docs: DataFrame, text: str, percent: int, table: tuple[np.ndarray
 
         def flush():
             token, node, n, need = (np.frombuffer(b"".join(x), k) for x, k in zip(held, (U64, np.int64, np.int32, np.int32), strict=True))
-            a, b, got, least = pairs_of(token, node, n.astype(np.int64), need, percent)
+            a, b, got, least = pairs_of(token, node, n.astype(np.int64), need, percent, most)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(got, pa.int64()), pa.array(least, pa.int64())], ["u", "v", "shared", "need"])
 
         for batch in batches:  # sorted by bucket
@@ -254,8 +256,8 @@ def candidates(docs: DataFrame, text: str, percent: int, table: tuple[np.ndarray
     return enough.select("u", "v", (F.col("need") == 0).alias("hot"))
 
 
-def links_of(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within a block (side None) or between its two sides."""
+def links_of(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among some sets."""
     n = np.array([len(x) for x in sets])
     parent = list(range(len(sets)))
 
@@ -289,8 +291,6 @@ def links_of(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> l
     linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
     out = []
     for i, j in np.argwhere(np.triu(linked, 1)).tolist():
-        if side is not None and side[i] == side[j]:
-            continue
         a, b = root(i), root(j)
         if a != b:
             parent[b] = a
@@ -302,39 +302,74 @@ def _split(count: Column) -> Column:
     return F.ceil(count / BLOCK).cast("int")
 
 
-def tasks_of(edges: DataFrame) -> DataFrame:
-    """Which node takes part in which verification: node, kind, root, i, j, side.
+def _blocks(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """Number of blocks of each key, and each node's own."""
+    size = rows.groupBy(by).agg(_split(F.count(F.lit(1))).alias(f"{name}s"))
+    return rows.join(size, by).withColumn(name, F.pmod(F.xxhash64("node", F.lit(7)), F.col(f"{name}s")).cast("int"))
 
-    kind 0: blocks i and j of a group of long lists; kind 1: a small connected part; kind 2: the
-    neighbours of one end, in parts of a block.
+
+def _task(kind: int, root: str, i: Column, j: Column) -> list[Column]:
+    return [F.col("node"), F.lit(kind).alias("kind"), F.col(root).alias("root"), i.cast("int").alias("i"), j.cast("int").alias("j")]
+
+
+def first_tasks(edges: DataFrame) -> DataFrame:
+    """Which node takes part in which verification: node, kind, root, i, j.
+
+    kind 0: blocks of a group of long lists, each with the group's pivots; kind 1: a small connected
+    part; kind 2: the neighbours of one end, in blocks.
     """
-    groups = components(edges.filter("hot").select("u", "v"))
-    size = groups.groupBy("root").agg(_split(F.count(F.lit(1))).alias("blocks"))
-    groups = cut(groups.join(size, "root"))
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
-    blocks = groups.select("node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    blocks = blocks.select("node", F.lit(0).alias("kind"), "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"))
-
-    of_u, of_v = (groups.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "uv")
-    rest = edges.filter("not hot").select("u", "v").join(of_u, "u", "left").join(of_v, "v", "left")
-    rest = cut(rest.filter("u_root is null or v_root is null or u_root != v_root").select("u", "v"))
-    parts = components(rest)
-    members = parts.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    parts = cut(parts.join(members, "root"))
-    small = parts.filter(F.col("members") <= BLOCK).select("node", F.lit(1).alias("kind"), "root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("side"))
+    none = F.lit(0)
+    groups = cut(_blocks(components(edges.filter("hot").select("u", "v")), "root", "block"))
+    place = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node", F.lit(11)), "node"))
+    pivots = groups.withColumn("place", place).filter(F.col("place") <= PIVOTS).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    hot = groups.select(*_task(0, "root", F.col("block"), none)).unionByName(pivots.select(*_task(0, "root", F.col("block"), none)))
 
+    rest = cut(edges.filter("not hot").select("u", "v"))
+    parts = components(rest)
+    parts = cut(parts.join(parts.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "root"))
+    small = parts.filter(F.col("members") <= BLOCK).select(*_task(1, "root", none, none))
     large = rest.join(parts.filter(F.col("members") > BLOCK).select(F.col("node").alias("u")), "u", "left_semi")
-    degree = large.groupBy("u").agg(_split(F.count(F.lit(1))).alias("blocks"))
-    star = large.join(degree, "u").select(F.col("u").alias("root"), "v", F.pmod(F.xxhash64("v", F.lit(7)), F.col("blocks")).cast("int").alias("i"))
-    around = star.select(F.col("v").alias("node"), "root", "i").unionByName(star.select(F.col("root").alias("node"), "root", "i").distinct())
-    around = around.select("node", F.lit(2).alias("kind"), "root", "i", F.lit(0).alias("j"), F.lit(False).alias("side"))
-    return blocks.unionByName(small).unionByName(around)
+    star = _blocks(large.select("u", F.col("v").alias("node")), "u", "block")
+    ends = star.select("u", "block").distinct().withColumn("node", F.col("u"))
+    around = star.select(*_task(2, "u", F.col("block"), none)).unionByName(ends.select(*_task(2, "u", F.col("block"), none)))
+    return hot.unionByName(small).unionByName(around)
+
+
+def rest_tasks(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """Verifications of what the first left open: nodes of one long list in different components.
+
+    Each list has a main component. Nodes of its lists outside it are its guests: blocks of both
+    meet (kind 3), and blocks of guests among themselves where there are several (kind 4).
+    """
+    lists = edges.filter("hot").select(F.col("u").alias("list"), F.col("v").alias("node"))
+    lists = lists.unionByName(lists.select("list", F.col("list").alias("node")).distinct())
+    known = components(links).withColumnRenamed("root", "part")
+    lists = cut(lists.join(known, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    held = lists.groupBy("list", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = held.groupBy("list").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    open_ = cut(lists.join(main.select("list", "main"), "list").select("main", "node", (F.col("part") == F.col("main")).alias("own")).distinct())
+    guests = _blocks(open_.filter("not own").select("main", "node"), "main", "guest")
+    hosts = _blocks(open_.filter("own").select("main", "node"), "main", "block")
+    sizes = guests.select("main", "guests").distinct(), hosts.select("main", "blocks").distinct()
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    met = hosts.join(sizes[0], "main").withColumn("guest", every("guests")).select(*_task(3, "main", F.col("block"), F.col("guest")))
+    came = guests.join(sizes[1], "main").withColumn("block", every("blocks")).select(*_task(3, "main", F.col("block"), F.col("guest")))
+    among = guests.filter("guests > 1").withColumn("other", every("guests")).select(*_task(4, "main", F.least("guest", "other"), F.greatest("guest", "other")))
+    return met.unionByName(came).unionByName(among)
 
 
 def verified(docs: DataFrame, text: str, percent: int, edges: DataFrame) -> DataFrame:
-    """Links (u, v) that connect the nodes of the candidate edges."""
+    """Links (u, v) that connect what the candidate edges allow."""
+    links = cut(checked(docs, text, percent, cut(first_tasks(edges))))
+    rest = cut(rest_tasks(edges, links))
+    if rest.isEmpty():
+        return links
+    return links.unionByName(checked(docs, text, percent, rest))
+
+
+def checked(docs: DataFrame, text: str, percent: int, dealt: DataFrame) -> DataFrame:
+    """A spanning forest of the links among the nodes of each task of ``dealt``."""
     spark = docs.sparkSession
-    dealt = cut(tasks_of(edges))
     nodes = dealt.select("node").distinct()
     bits = 1 << max(16, min(FILTER_BITS.bit_length() - 1, int(16 * max(nodes.count(), 1)).bit_length()))
     words_ = nodes.select(F.pmod(F.xxhash64("node"), F.lit(bits)).alias("bit")).groupBy(F.floor(F.col("bit") / 32).cast("bigint").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("mask"))
@@ -363,13 +398,11 @@ def verified(docs: DataFrame, text: str, percent: int, edges: DataFrame) -> Data
 
         def flush():
             node = list(held)
-            sets = [np.frombuffer(held[x][0], U64) for x in node]
-            side = np.array([held[x][1] for x in node]) if key[0] == 0 and key[2] != key[3] else None
-            got = links_of(sets, side, percent)
+            got = links_of([np.frombuffer(held[x], U64) for x in node], percent)
             return pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in got], pa.int64()), pa.array([node[j] for _, j in got], pa.int64())], ["u", "v"])
 
         for b in batches:
-            node, kind, root, i, j, side = (b.column(x).to_pylist() for x in ("node", "kind", "root", "i", "j", "side"))
+            node, kind, root, i, j = (b.column(x).to_pylist() for x in ("node", "kind", "root", "i", "j"))
             for k in range(len(b)):
                 own = (kind[k], root[k], i[k], j[k])
                 if own != key:
@@ -377,7 +410,7 @@ def verified(docs: DataFrame, text: str, percent: int, edges: DataFrame) -> Data
                         yield flush()
                     key, held = own, {}
                 if node[k] not in held:  # copies of a text from several tasks
-                    held[node[k]] = (b.column("tokens")[k].as_py(), side[k])
+                    held[node[k]] = b.column("tokens")[k].as_py()
         if len(held) > 1:
             yield flush()
 

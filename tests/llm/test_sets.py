@@ -63,7 +63,8 @@ def brute(texts, ids):
 @pytest.mark.parametrize(("limit", "block"), [(64, 128), (3, 4)])
 def test_jaccard(spark, monkeypatch, limit, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard.pairs_of, "__defaults__", (limit,))
+    monkeypatch.setattr(jaccard, "LIST", limit)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1 if limit < 64 else 12)
     texts = copies(limit)
     ids = random.Random(1).sample(range(1000), len(texts))
     docs = spark.createDataFrame([(i, t, "s", "x", "x", "x") for i, t in zip(ids, texts, strict=True)], SCHEMA).repartition(3)
