@@ -42,6 +42,8 @@ FILTER_BITS = 1 << 27
 #: Digests that one task remembers to send copies once; forgetting costs only time.
 REMEMBER = 1_000_000
 WORDS = 5
+#: Tokens of a set for each further prefix token that a candidate has to share.
+CHANCE = 48
 COLUMNS = 4096  # of the token matrix that are multiplied at once
 
 
@@ -138,12 +140,12 @@ def prefixes(h: np.ndarray, row: np.ndarray, first: np.ndarray, percent: int, to
     place = np.arange(len(h)) - first[row]
     least = n - _least_shared(n, percent) + 1
     cost = np.maximum(seen[order] - 1, 0)
-    extra = np.zeros(len(n), np.int64)
+    extra = n // CHANCE  # every token can meet by chance, so longer sets ask for more from the start
     dear = np.flatnonzero(sums(np.where(place < least[row], cost, 0), first) > 4)
     for i in dear.tolist():
         upto = np.cumsum(cost[first[i] : first[i + 1]])
         # candidates must share l of these tokens, so at most cost / l are verified, each for about n tokens
-        steps = [0, *(s for s in (n[i] // 32, n[i] // 16, n[i] // 8, n[i] // 4) if 0 < s and least[i] + s <= n[i])]
+        steps = [int(extra[i]), *(s for s in (n[i] // 32, n[i] // 16, n[i] // 8, n[i] // 4) if extra[i] < s and least[i] + s <= n[i])]
         price = [upto[least[i] + s - 1] / (1 + s) * n[i] / 16 + s for s in steps]
         extra[i] = steps[int(np.argmin(price))]
     inside = place < (least + extra)[row]
