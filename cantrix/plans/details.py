@@ -68,10 +68,10 @@ def pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("track", "id", F.coalesce("ps", "start").alias("start"), F.coalesce("pe", "stop").alias("stop"), F.coalesce("pt", "label").alias("text"), F.when(F.col("ps").isNotNull(), 1.0).otherwise(F.col("confidence")).alias("confidence"))
 
 
-@query(f"with {WORDS} select doc_id, pos, lower(word) as word, row_number() over (partition by doc_id, lower(word) order by pos) as nth from words where doc_id % 10 = 1")
+@query(f"with {WORDS} select doc_id, pos, lower(word) as word, row_number() over (partition by doc_id, lower(word) order by pos) as nth from words")
 def nth_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which occurrence of its text a word is."""
-    w = words(spark, sf_dir).filter("doc_id % 10 = 1").withColumn("word", F.lower("word"))
+    w = words(spark, sf_dir).withColumn("word", F.lower("word"))
     return w.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "word", F.row_number().over(Window.partitionBy("doc_id", "word").orderBy("pos")).alias("nth"))
 
 
@@ -88,11 +88,11 @@ def second_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("doc_id", "script").agg(F.sum("n").alias("words"), F.max("n").alias("longest")).filter("longest > 2 or words > 5")
 
 
-@query(f"""with {WORDS}, n as (select doc_id, pos, {NORM} as norm from words where doc_id % 20 = 3), w as (select list(norm) over (partition by doc_id order by pos rows between current row and 4 following) as w from n)
+@query(f"""with {WORDS}, n as (select doc_id, pos, {NORM} as norm from words), w as (select list(norm) over (partition by doc_id order by pos rows between current row and 4 following) as w from n)
 select array_to_string(list_slice(w, 1, k), ' ') as gram, k, count(*) as n from w, (select unnest([1, 2, 3, 4, 5]) as k) where len(w) >= k group by all having count(*) >= 3""")
 def frequent_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of one to five words that occur three times or more in every twentieth document."""
-    n = words(spark, sf_dir).filter("doc_id % 20 = 3").withColumn("norm", T.normalize_word(F.col("word")))
+    """Runs of one to five words that occur three times or more over all documents."""
+    n = words(spark, sf_dir).withColumn("norm", T.normalize_word(F.col("word")))
     ahead = F.collect_list("norm").over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(0, 4))
     grams = n.select(ahead.alias("w")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(F.col("w"), F.lit(1), k), " ").alias("gram")))).alias("g"))
     return grams.groupBy("g.gram", "g.k").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
