@@ -86,13 +86,13 @@ def words_in_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normal(spark, sf_dir).select("doc_id", T.sound_key(F.col("norm")).alias("sound")).join(known, "sound", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.count("hit").alias("known"))
 
 
-@query(f"""with {WORDS}, n as (select distinct {NORM} as norm from words where doc_id % 20 = 0), k as (select distinct {duck_key("norm")} as a from n where norm <> ''), f as (select a, {duck_fold("a")} as fa from k where regexp_full_match(a, '[a-z]+')),
+@query(f"""with {WORDS}, n as (select distinct {NORM} as norm from words), k as (select distinct {duck_key("norm")} as a from n where norm <> ''), f as (select a, {duck_fold("a")} as fa from k where regexp_full_match(a, '[a-z]+')),
 r as (select distinct {duck_key("x")} as b from (values ('kedeng'), ('gedengedeng'), ('koffie'), ('thee'), ('tion'), ('eau')) v(x)), g as (select b, {duck_fold("b")} as fb from r)
 select a, b, round(case when a = b then 1.0 when fa = fb then 0.95 when least(len(fa), len(fb)) >= 3 and (contains(fa, fb) or contains(fb, fa)) then least(len(fa), len(fb)) / greatest(len(fa), len(fb)) else 1.0 - levenshtein(fa, fb) / greatest(len(fa), len(fb)) end, 9) as similarity
 from f, g where similarity >= 0.5""")
 def similar_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sound keys of every twentieth document that resemble one of six search words (a literal table); plain letters, as the oracle's distance counts bytes."""
-    keys = _normal(spark, sf_dir).filter("doc_id % 20 = 0").select("norm").distinct().select(T.sound_key(F.col("norm")).alias("a")).filter(F.col("a").rlike("^[a-z]+$")).distinct().withColumn("fa", T.folded(F.col("a")))
+    """Sound keys of all documents that resemble one of six search words (a literal table); plain letters, as the oracle's distance counts bytes."""
+    keys = _normal(spark, sf_dir).select("norm").distinct().select(T.sound_key(F.col("norm")).alias("a")).filter(F.col("a").rlike("^[a-z]+$")).distinct().withColumn("fa", T.folded(F.col("a")))
     search = spark.createDataFrame([(x,) for x in ("kedeng", "gedengedeng", "koffie", "thee", "tion", "eau")], "x string").select(T.sound_key(F.col("x")).alias("b")).distinct().withColumn("fb", T.folded(F.col("b")))
     both = keys.join(F.broadcast(search), F.lit(True))
     return both.select("a", "b", F.round(T.key_similarity(F.col("a"), F.col("b"), F.col("fa"), F.col("fb")), 9).alias("similarity")).filter("similarity >= 0.5")
@@ -133,12 +133,12 @@ def doubled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.withColumn("before", before).filter("sound = before and sound != ''").select("sound").distinct()
 
 
-@query(f"""with {WORDS}, f as (select word, len(word) as n from words where doc_id % 10 = 0) select word, count(*) as n, list_filter(list_transform(string_split(word, '-'), lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}''’]', '', 'g')), lambda x: x <> '') as parts,
+@query(f"""with {WORDS}, f as (select word, len(word) as n from words) select word, count(*) as n, list_filter(list_transform(string_split(word, '-'), lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}''’]', '', 'g')), lambda x: x <> '') as parts,
 greatest(1, len(regexp_extract_all(lower(word), '[aeiouyáéíóúàèêëïöüäæøåœ]+'))) as syllables, substring(sha1(word), 1, 16) as content_id, regexp_replace(trim(word), '[^A-Za-z0-9._\\-]+', '_', 'g') as safe from f group by word""")
 def word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts between hyphens, syllables, content id and file-safe form of the words of every tenth document."""
+    """Parts between hyphens, syllables, content id and file-safe form of the words of all documents."""
     w = F.col("word")
-    f = words(spark, sf_dir).filter("doc_id % 10 = 0").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    f = words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return f.select("word", "n", T.hyphen_parts(w).alias("parts"), T.syllable_count(w).cast("bigint").alias("syllables"), T.content_id(w).alias("content_id"), T.safe_name(w).alias("safe"))
 
 

@@ -1,7 +1,9 @@
 """Queries over whole tables, against brute force on small ones."""
 
 import collections
+import hashlib
 
+from cantrix.functions import text as T
 from cantrix.plans import catalog
 
 TEXTS = ["Kedeng kedeng de trein", "de trein rijdt", "Koffie, koffie-thee en thee", "de trein", "gedengedeng"]
@@ -37,3 +39,20 @@ def test_frequent_grams(spark, tmp_path):
         w = [norm(x) for x in words]
         n.update((" ".join(w[i : i + k]), k) for i in range(len(w)) for k in range(1, 6) if i + k <= len(w))
     assert sorted(run(spark, "frequent_grams", tmp_path)) == sorted((*g, c) for g, c in n.items() if c >= 3)
+
+
+def test_similar_keys(spark, tmp_path):
+    """Words of single documents count whatever the document's id."""
+    rows = [(i, w, "nl", "s", 1) for i, w in enumerate(["de", "koffie", "thee", "kedeng", "koffies", "gedengedeng"])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    sounds = spark.createDataFrame([(r[1],) for r in rows], "w string").select(T.sound_key("w")).collect()
+    got = {(a, b): s for a, b, s in run(spark, "similar_keys", tmp_path)}
+    for key in {r[0] for r in sounds[1:4] + sounds[5:]}:
+        assert got[key, key] == 1.0
+
+
+def test_word_forms(spark, tmp_path):
+    n = collections.Counter(w for words in documents(spark, tmp_path).values() for w in words)
+    got = {r[0]: r for r in run(spark, "word_forms", tmp_path)}
+    assert {w: r[1] for w, r in got.items()} == n
+    assert all(r[4] == hashlib.sha1(w.encode()).hexdigest()[:16] for w, r in got.items())
