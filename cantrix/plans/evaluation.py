@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import graph, sequence, stats
+from ..operators import graph, nearest, sequence, stats
 from ..sources.tables import table
 from .base import SPANS, spans
 from .catalog import query
@@ -105,22 +105,21 @@ def invalidation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.invalidation(_edges(spark, sf_dir), root(1), root(101))
 
 
-@query("""with recursive p as (select distinct o_custkey as a, o_custkey // 3 * 3 as b from orders where o_orderkey % 7 = 0), e as (select a as u, b as v from p union select b, a from p),
+@query("""with recursive p as (select distinct o_custkey as a, o_custkey // 3 * 3 as b from orders), e as (select a as u, b as v from p union select b, a from p),
 r(node, label) as (select u, u from e union select e.v, r.label from r join e on e.u = r.node) select node, min(label) as label from r group by node""")
 def linked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components of pairs, by their smallest member."""
-    p = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("a"), (F.floor(F.col("o_custkey") / 3) * 3).alias("b")).distinct()
+    p = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.floor(F.col("o_custkey") / 3) * 3).alias("b")).distinct()
     return graph.components(p)
 
 
-@query("""with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), q as (select vec_id as q, e as qe from v where vec_id < 5)
+@query("""with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), q as (select vec_id as q, e as qe from v where vec_id % 20 = 0)
 select q, vec_id, round(list_dot_product(qe, e) / (sqrt(list_dot_product(qe, qe)) * sqrt(list_dot_product(e, e))), 6) as cosine from q, v where vec_id <> q qualify row_number() over (partition by q order by cosine desc, vec_id) <= 10""")
 def cosine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten most similar vectors to each of five queries."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = v.filter("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))
-    s = v.join(F.broadcast(q), F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(V.cosine(F.col("e"), F.col("embedding")), 6).alias("cosine"))
-    return sequence.newest(s, ["q"], [F.desc("cosine"), F.asc("vec_id")], 10)
+    """The ten most similar vectors to each whose id is divisible by 20. Blocks of queries meet blocks of rows, and a pair of blocks leaves ten rows a query."""
+    v = table(spark, sf_dir, "embeddings").filter("vec_id is not null").select("vec_id", "embedding")
+    q = v.filter("vec_id % 20 = 0")
+    return sequence.newest(nearest.top_cosines(nearest.blocks(q, "vec_id", "embedding"), nearest.blocks(v, "vec_id", "embedding"), 10), ["q"], [F.desc("cosine"), F.asc("vec_id")], 10)
 
 
 @query("""with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), m as (select *, list_avg(e) as m, sqrt(list_avg(list_transform(e, lambda x: x * x))) as rms from v)

@@ -3,6 +3,8 @@
 import collections
 import hashlib
 
+import numpy as np
+
 from cantrix.functions import text as T
 from cantrix.plans import catalog
 
@@ -56,3 +58,27 @@ def test_word_forms(spark, tmp_path):
     got = {r[0]: r for r in run(spark, "word_forms", tmp_path)}
     assert {w: r[1] for w, r in got.items()} == n
     assert all(r[4] == hashlib.sha1(w.encode()).hexdigest()[:16] for w, r in got.items())
+
+
+def test_linked_groups(spark, tmp_path):
+    customers = [1, 2, 4, 6, 8, 9, 9, 13]
+    spark.createDataFrame([(i, c) for i, c in enumerate(customers, 1)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(run(spark, "linked_groups", tmp_path)) == sorted({(x, c // 3 * 3) for c in customers for x in (c, c // 3 * 3)})
+
+
+def test_cosine_search(spark, tmp_path, monkeypatch):
+    from cantrix.operators import nearest
+
+    monkeypatch.setattr(nearest, "BLOCK", 16)
+    x = np.random.default_rng(3).normal(size=(90, 8)).astype(np.float32)
+    x[50:65] = x[40]
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = []
+    for q in range(0, 90, 20):
+        c = np.round(u @ u[q], 6)
+        want += [(q, i, c[i]) for i in np.lexsort((np.arange(90), -c)) if i != q][:10]
+    got = sorted(run(spark, "cosine_search", tmp_path))
+    assert [r[:2] for r in got] == sorted(r[:2] for r in want)
+    assert np.allclose([r[2] for r in got], [r[2] for r in sorted(want)], atol=2e-6)
