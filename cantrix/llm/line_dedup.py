@@ -64,7 +64,7 @@ with lines as (
   where regexp_matches(line, '[^\x20\x09-\x0D]') group by all
 ), bad as (
   select source, line from counted join (select source, count(*) as pages from documents group by source) using (source)
-  where held >= 10 and held > 0.05 * pages
+  where held >= 2 and held > 0.05 * pages
 ), marked as (
   select l.*, b.line is not null as gone from lines l left join bad b on l.source = b.source and l.line = b.line
 ), cleaned as (

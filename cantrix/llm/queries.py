@@ -52,7 +52,7 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(read(spark, sf_dir, "documents"))
+    return line_dedup(read(spark, sf_dir, "documents"), least_pages=2)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; n_chars follows the text."""
-    out = line_dedup(docs.select(*COLUMNS))
+    out = line_dedup(docs.select(*COLUMNS), least_pages=2)
     return out.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

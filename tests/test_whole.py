@@ -82,3 +82,21 @@ def test_cosine_search(spark, tmp_path, monkeypatch):
     got = sorted(run(spark, "cosine_search", tmp_path))
     assert [r[:2] for r in got] == sorted(r[:2] for r in want)
     assert np.allclose([r[2] for r in got], [r[2] for r in sorted(want)], atol=2e-6)
+
+
+def test_line_dedup_small_hosts(spark, tmp_path):
+    """The ratio decides for hosts of every size; a line on one page is never boilerplate."""
+    import corpus_pipeline
+    from cantrix.llm import queries
+
+    pages = [("a", 6, {0, 1}), ("b", 60, {3, 4, 5}), ("c", 61, {3, 4, 5, 6}), ("d", 1, {0}), ("e", 9, set(range(9)))]
+    rows, want = [], {}
+    for host, n, menu in pages:
+        for i in range(n):
+            text = f"own {host} {i}" + ("\nmenu" if i in menu else "")
+            want[len(rows)] = f"own {host} {i}" if len(menu) > max(1, 0.05 * n) else text
+            rows.append((len(rows), text, "en", host, len(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["text"] for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()} == want
