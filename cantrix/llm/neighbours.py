@@ -30,7 +30,7 @@ class Setting:
     fit_rows: int = 60_000
     leaf: int = 192
     visit: int = 4096
-    share: float = 0.6
+    share: float = 1.2
     seed: int = 11
 
 
