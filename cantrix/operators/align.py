@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,9 +120,15 @@ def leaders(tokens: DataFrame, by: list[str], threshold: float = 0.65) -> DataFr
         pdf = pdf.sort_values(["n", "sound"], ascending=[False, True])
         chosen: list[str] = []
         out = []
+        # letters in common bound the distance from below, so most leaders are passed without it
+        letters, lengths = np.zeros((len(pdf), 32), np.int16), np.zeros(len(pdf), np.int64)
         for sound in pdf["sound"]:
-            lead = next((c for c in chosen if levenshtein_similarity(c, sound) >= threshold), None)
+            own, k = np.bincount([ord(x) % 32 for x in sound], minlength=32).astype(np.int16), len(chosen)
+            longest = np.maximum(lengths[:k], len(sound))
+            near = np.flatnonzero(1.0 - (longest - np.minimum(letters[:k], own).sum(1)) / np.maximum(longest, 1) >= threshold)
+            lead = next((chosen[i] for i in near if levenshtein_similarity(chosen[i], sound) >= threshold), None)
             if lead is None:
+                letters[k], lengths[k] = own, len(sound)
                 chosen.append(sound)
                 lead = sound
             out.append(lead)

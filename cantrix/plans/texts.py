@@ -23,7 +23,6 @@ def aligned_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sound_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sound keys of each language's repeated words grouped by leader."""
-    w = words(spark, sf_dir).select("lang", T.sound_key(T.normalize_word(F.col("word"))).alias("sound")).filter("length(sound) >= 3")
-    n = w.groupBy("lang", "sound").agg(F.count(F.lit(1)).alias("n")).filter("n >= 40")
-    return align.leaders(n, ["lang"])
+    """Every sound key of a document, grouped by leader within the document."""
+    w = words(spark, sf_dir).select("doc_id", T.sound_key(T.normalize_word(F.col("word"))).alias("sound")).filter("sound != ''")
+    return align.leaders(w.groupBy("doc_id", "sound").agg(F.count(F.lit(1)).alias("n")), ["doc_id"])

@@ -6,7 +6,7 @@ import hashlib
 import numpy as np
 
 from cantrix.functions import text as T
-from cantrix.plans import catalog
+from cantrix.plans import catalog, details, evaluation, texts, words  # noqa: F401
 
 TEXTS = ["Kedeng kedeng de trein", "de trein rijdt", "Koffie, koffie-thee en thee", "de trein", "gedengedeng"]
 
@@ -121,3 +121,19 @@ def test_neighbours_recall():
                 seen |= at[t] == leaf
             hits += int(seen[np.argsort(d)[:10]].sum())
         assert hits / (10 * len(queries)) >= 0.93
+
+
+def test_sound_clusters(spark, tmp_path):
+    from cantrix.operators.align import levenshtein_similarity
+
+    docs = documents(spark, tmp_path)
+    heard = spark.createDataFrame([(i, norm(w)) for i, words in docs.items() for w in words], "i long, w string").select("i", T.sound_key("w")).collect()
+    want = []
+    for i in docs:
+        n, chosen = collections.Counter(s for k, s in heard if k == i and s), []
+        for sound in sorted(n, key=lambda s: (-n[s], s)):
+            lead = next((c for c in chosen if levenshtein_similarity(c, sound) >= 0.65), sound)
+            if lead == sound:
+                chosen.append(sound)
+            want.append((i, sound, n[sound], lead))
+    assert sorted(run(spark, "sound_clusters", tmp_path)) == sorted(want)
