@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,7 +39,6 @@ def add_columns(df: DataFrame, text: str, keep: list[str], schema: str, of: Call
                 made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip((got[n] for n in names), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*own, *made], [*keep, *names])
 
-    small_batches(df.sparkSession)
     return df.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").cast("string").alias(TEXT)).mapInArrow(run, out)
 
 
@@ -49,13 +49,6 @@ def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def small_batches(spark: SparkSession, rows: int = 2048) -> None:
-    """Arrow batches of whole texts are held several times over; Spark's default number of rows is lowered, another is kept."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, rows)
-
-
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n: the documented folds."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
@@ -69,8 +62,29 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of this machine only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/cantrix-checkpoints"
+    """The shared folder of ``spark.checkpoint.dir``; a local master, whose workers share the driver's disk, may go without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{tempfile.gettempdir()}/cantrix-checkpoints"
+
+
+#: Rows of an Arrow batch while ``cut`` writes: whole texts are held several times over. An own setting of the session is kept.
+ROWS, DEFAULT_ROWS = "2048", "10000"
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if before == DEFAULT_ROWS:
+        spark.conf.set(name, ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -81,7 +95,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/cantrix-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path

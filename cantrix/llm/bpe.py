@@ -14,13 +14,12 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import regex
 import tiktoken
 import tokenizers
 
-from .textbuf import U64, Texts, powers, splitmix
+from .textbuf import Texts, distinct
 
 LETTER, NUMBER, SPACE, OTHER, EDGE, UNKNOWN = range(6)
 #: Suffixes that an apostrophe splits off, as in the pattern.
@@ -61,11 +60,6 @@ def settle(c: np.ndarray) -> None:
         table[p] = LETTER if cut == [0, 2] else NUMBER if cut == [0, 1] else OTHER if len(split(f"!{x}")) == 1 else SPACE
 
 
-@functools.cache
-def mixed() -> np.ndarray:
-    return splitmix(np.arange(0x110001))
-
-
 def code_points(t: Texts) -> np.ndarray:
     """Code points of all texts of a chunk, with an edge after each; offsets by ``edges``."""
     n = len(t.data)
@@ -148,17 +142,9 @@ class Bpe:
         c = code_points(t)
         at = cuts(c).astype(np.int32)
         length = np.diff(at, append=np.int32(len(c)))
-        owner = np.repeat(np.arange(len(at), dtype=np.int32), length)
-        inner = np.arange(len(c), dtype=np.int32) - at[owner]
-        with np.errstate(over="ignore"):
-            h = np.add.reduceat(mixed()[c] * powers(int(length.max()))[inner], at) + length.astype(U64)
         edge = c[at] == 0x110000
-        number, distinct = pd.factorize(h)
-        pick = np.empty(len(distinct), np.int64)
-        pick[number[::-1]] = np.arange(len(h) - 1, -1, -1)  # the first place of each
-        first = at[pick][number]
-        if not (np.array_equal(length[pick][number], length) and np.array_equal(c[first[owner] + inner], c)):
-            raise ArithmeticError("two different pre-tokens share a fingerprint")  # 2**-64 a pair
+        points = np.ascontiguousarray(c, "<u4").view(np.uint8)
+        number, pick = distinct(points, 4 * at.astype(np.int64), 4 * (at + length).astype(np.int64))
         text = np.where(c == 0x110000, 0x20, c).astype(np.uint32).tobytes().decode("utf-32-le")
         stop = (at[pick] + length[pick]).tolist()
         names = [text[a:b] for a, b in zip(at[pick].tolist(), stop, strict=True)]

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .arrow import add_columns, sums
-from .textbuf import Texts, spans, span_hash, splitmix, words
+from .textbuf import Texts, distinct, spans, splitmix, words
 
 #: The signs that count as symbols.
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -70,7 +70,7 @@ def measure(t: Texts, limits: Limits) -> dict[str, np.ndarray]:
     repeat_words, dup_lines, dup_line_chars = (np.zeros(rows, np.int64) for _ in range(3))
     shares = {f"dup_{n}gram_share": np.zeros(rows) for n in limits.duplicated} | {f"top_{n}gram_share": np.zeros(rows) for n in limits.commonest}
     some = np.maximum(word_chars, 1)
-    number = pd.factorize(w.hash)[0]  # equal numbers are equal words
+    number = distinct(t.data, w.start, w.stop)[0]
     salt = splitmix(w.row)
     inside = lambda at, n: sums(np.where(covered(len(w.row), at, n), chars, 0), w.first)
     at, room = np.arange(len(w.row)), w.first[1:][w.row] if len(w.row) else np.zeros(0, np.int64)
@@ -117,9 +117,9 @@ def _lines(t: Texts, w, points: np.ndarray, low: int, high: int, breaks: np.ndar
     start, stop, first, last = start[has], stop[has], first[has], last[has]
     if len(start) < 2:
         return 0, 0
-    h = span_hash(t.data, start, stop)
-    repeated = np.ones(len(h), bool)
-    repeated[np.unique(h, return_index=True)[1]] = False
+    number, pick = distinct(t.data, start, stop)
+    repeated = np.ones(len(number), bool)
+    repeated[pick] = False
     if not repeated.any():
         return 0, 0
     total = np.concatenate([[0], np.cumsum(points[w.stop[own]] - points[w.start[own]])])

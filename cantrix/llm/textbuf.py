@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
@@ -36,18 +37,9 @@ def splitmix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-BYTE_MIX = splitmix(np.arange(256))
 BASE = U64(0xD6E8FEB86659FD93)
 
 
-def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), base, U64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=U64)
-
-
 @dataclass
 class Texts:
     """Whole texts of some rows: ``data[offsets[i]:offsets[i + 1]]`` is the UTF-8 of row ``first + i``."""
@@ -124,17 +116,69 @@ def words(t: Texts, separators: np.ndarray = SPACE, lower: bool = False, hashed:
     return Words(start, stop, row, first, fingerprint)
 
 
+def lanes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of each span as 8-byte lanes, the last one filled up with zeros: values, first lane and number of lanes of each."""
+    length = stop - start
+    count = np.maximum((length + 7) >> 3, 1)
+    first = np.cumsum(count) - count
+    inner = np.arange(int(count.sum())) - np.repeat(first, count)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    every = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each byte on
+    value = every[np.repeat(start, count) + 8 * inner]
+    last = first + count - 1
+    left = length - 8 * (count - 1)
+    value[last] &= np.where(left >= 8, ~U64(0), (U64(1) << (8 * np.minimum(left, 7)).astype(U64)) - U64(1))
+    return value, first, count
+
+
+def _spans_hash(value: np.ndarray, first: np.ndarray, count: np.ndarray, length: np.ndarray) -> np.ndarray:
+    inner = np.arange(len(value)) - np.repeat(first, count)
+    with np.errstate(over="ignore"):
+        place = splitmix(np.arange(int(count.max())))[inner]
+        mixed = splitmix(value ^ place) * (place | U64(1))
+        return splitmix(np.add.reduceat(mixed, first) + splitmix(length))
+
+
 def span_hash(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial fingerprint of each span of bytes; spans are disjoint and in order."""
+    """A 64-bit fingerprint of each span of bytes.
+
+    Every lane is mixed with its place by a function that is not linear, so repetitive spans do not
+    cancel out as they do in a polynomial modulo 2**64.
+    """
     if not len(start):
         return np.zeros(0, U64)
+    value, first, count = lanes(data, start, stop)
+    return _spans_hash(value, first, count, stop - start)
+
+
+def distinct(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, equal where the bytes are equal, and the first span of each number.
+
+    Spans of one fingerprint are compared lane by lane; where two differ, bytes decide about all.
+    """
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     length = stop - start
-    total = np.cumsum(length)
-    inner = np.arange(total[-1]) - np.repeat(total - length, length)
-    at = inner + np.repeat(start, length)
-    with np.errstate(over="ignore"):
-        v = BYTE_MIX[data[at]] * powers(int(length.max()))[inner]
-        return splitmix(np.add.reduceat(v, total - length) + length.astype(U64))
+    value, first, count = lanes(data, start, stop)
+    number, found = pd.factorize(_spans_hash(value, first, count, length))
+    pick = _first_of(number, len(found))
+    like = pick[number]
+    same = np.array_equal(length[like], length)
+    if same:
+        at = np.repeat(first[like] - first, count) + np.arange(len(value))
+        same = np.array_equal(value[at], value)
+    if not same:
+        blob = data.tobytes()
+        number, found = pd.factorize(np.array([blob[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)], object))
+        pick = _first_of(number, len(found))
+    return number, pick
+
+
+def _first_of(number: np.ndarray, n: int) -> np.ndarray:
+    pick = np.empty(n, np.int64)
+    pick[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+    return pick
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:

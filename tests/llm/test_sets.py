@@ -72,8 +72,36 @@ def test_jaccard(spark, monkeypatch, limit, block):
     assert got == brute(texts, ids)
 
 
-def test_jaccard_empty(spark):
-    assert jaccard.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
+def joined(spark, texts, partitions=1):
+    docs = spark.createDataFrame([(i, t, "s", "x", "x", "x") for i, t in enumerate(texts)], SCHEMA).coalesce(partitions)
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+
+
+#: Two words that collide under every polynomial modulo 2**64.
+TWINS = ["".join("ab"[(i.bit_count() + k) % 2] for i in range(1024)) for k in (0, 1)]
+
+
+@pytest.mark.parametrize("texts", [[], [None, None], ["", None, "a b c", "a b c", "A  b c", "d"], ["a b c", "one two three four five six"], [f"{x} and four words more here" for x in TWINS], TWINS])
+def test_jaccard_small_tables(spark, texts):
+    assert joined(spark, texts) == brute(texts, range(len(texts)))
+
+
+def test_jaccard_copies_in_one_partition(spark):
+    one = " ".join(f"w{i}" for i in range(60))
+    assert joined(spark, [one] * 5000 + ["x " + one, one + " é " * 9000]) == dict.fromkeys(range(5000), (56, 0)) | {5000: (57, 0), 5001: (61, 0)}
+
+
+def test_jaccard_shared_passages_make_no_pairs(spark, monkeypatch):
+    """Documents with 170 of 200 words in common do not link, and their long lists are left by all of them."""
+    passage = [f"p{i}" for i in range(170)]
+    texts = [" ".join([f"u{d}x{i}" for i in range(30)] + passage) for d in range(300)]
+    texts += [" ".join([f"q{i}" for i in range(170)] + [f"v{d}"]) for d in range(80)]
+    seen = []
+    kept = jaccard.rest_tasks
+    monkeypatch.setattr(jaccard, "rest_tasks", lambda met, links: seen.append({r["v"] for r in met.collect()}) or kept(met, links))
+    got = joined(spark, texts, 2)
+    assert all(got[i] == (196, i) for i in range(300)) and all(got[i] == (167, 300) for i in range(300, 380))
+    assert len(seen[0]) < 100
 
 
 def test_components(spark):
