@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import add_columns, crc_mod, sums
@@ -25,11 +25,12 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Setting:
-    """fit_rows, fit_chars: bounds of the labelled sample: rows of each language, and characters of a row that is taken."""
+    """Bounds of the labelled sample: ``fit_rows`` distinct texts of each language, of at most ``fit_chars`` characters, for ``fit_names`` languages."""
 
     grams: tuple[int, ...] = (3, 5)
     fit_rows: int = 1500
     fit_chars: int = 20_000
+    fit_names: int = 256
     cells: int = 1 << 20
     hashes: int = 3
     most_grams: int = 30_000
@@ -116,13 +117,17 @@ def learn(docs: DataFrame, setting: Setting, text: str, label: str, rows) -> Fil
     """Filters from a bounded sample of the rows that ``rows`` selects: whole texts, chosen by a hash of their words."""
     known = docs.filter(rows).filter(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= setting.fit_chars))
     known = known.select(F.col(text).alias("text"), F.col(label).cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # the commonest names; copies of a text share its chance and count once, so the sample is bounded whatever repeats
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(setting.fit_names)
+    counts = {r["lang"]: r["n"] for r in counted.collect()}
     names = sorted(counts)
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
+    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     rate = F.lit(None).cast("double")
     for name in names:
         rate = F.when(F.col("lang") == name, F.lit(setting.fit_rows / counts[name])).otherwise(rate)
-    sample = known.filter(chance < rate * (1 << 20)).toArrow() if names else None
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "text"))
+    some = known.withColumn("chance", chance).filter(F.col("chance") < rate * (1 << 40)).distinct()
+    sample = some.withColumn("place", place).filter(F.col("place") <= setting.fit_rows).select("lang", "text").toArrow() if names else None
     filters = Filters(setting, names)
     lang = np.array(sample["lang"].to_pylist(), object) if names else np.zeros(0)
     for n in setting.grams:
@@ -151,7 +156,8 @@ def languages(docs: DataFrame, setting: Setting | None = None, held_out: tuple[i
     Rows whose crc32 of ``key`` as text leaves ``held_out[1]`` modulo ``held_out[0]`` are never learned from;
     nor are rows without label or text. Prediction sees the text alone. A text that is null or has no
     letter is "und" with score 0, as is every row where nothing could be learned. Ties go to the first
-    name. Repeated rows give repeated results; an empty table gives no rows.
+    name. A very long text is read whole, as a chunk of its own. Repeated rows give repeated results; other
+    columns, whatever their names, are not read; an empty table gives no rows.
     """
     setting = setting or Setting()
     fold = F.coalesce(crc_mod(f"`{key}`", held_out[0]) == held_out[1], F.lit(False))

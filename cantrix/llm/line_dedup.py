@@ -19,6 +19,15 @@ def _blank(line: Column) -> Column:
     return ~line.rlike(r"[^\x20\x09-\x0D]")
 
 
+def helper_names(taken: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that no column has, whatever their case."""
+    low = {c.lower() for c in taken}
+    mark = "_dedup"
+    while any(f"{mark}_{n}" in low for n in names):
+        mark += "_"
+    return [f"{mark}_{n}" for n in names]
+
+
 def boilerplate(pages: DataFrame, ratio: float, least_pages: int, text: str, host: str) -> DataFrame:
     """host, and ``lines``: the distinct lines on more than ``ratio`` of the host's pages and on ``least_pages`` at least."""
     own = pages.select(F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{text}`").cast("string").alias("text")).filter("host is not null")
@@ -36,21 +45,23 @@ def line_dedup(pages: DataFrame, ratio: float = 0.05, least_pages: int = 10, tex
 
     Lines are cut at \\n and compared whole, by 64-bit hash; a line without a word is never dropped.
     Pages with a null host or text stay as they are (0 lines dropped); a null text counts as a page of its
-    host. Repeated rows are pages of their own. An empty table gives no rows.
+    host. Repeated rows are pages of their own; a very long text is split where it lies. An input column
+    ``lines_dropped`` is replaced; columns of any other names are kept. An empty table gives no rows.
     """
-    pages = pages.drop("lines_dropped")  # a column of that name is replaced
+    pages = pages.drop("lines_dropped")
+    own = helper_names(pages.columns, "host", "marks", "kept")
     # written first: the join then sees a plain small table, and Spark can split a large host's pages
-    hosts = cut(boilerplate(pages, ratio, least_pages, text, host).select(F.col("host").alias("_dedup_host"), F.col("marks").alias("_dedup_marks")))
-    size = hosts.agg(F.sum(8 * F.size("_dedup_marks") + 64)).first()[0] or 0
+    hosts = cut(boilerplate(pages, ratio, least_pages, text, host).select(F.col("host").alias(own[0]), F.col("marks").alias(own[1])))
+    size = hosts.agg(F.sum(8 * F.size(own[1]) + 64)).first()[0] or 0
     hosts = F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts
     column = F.col(f"`{text}`").cast("string")
     every = F.split(column, "\n", -1)
-    keep = F.filter(every, lambda x: _blank(x) | ~F.array_contains(F.col("_dedup_marks"), F.xxhash64(x)))
-    joined = pages.join(hosts, F.col(f"`{host}`").cast("string") == F.col("_dedup_host"), "left")
-    touched = F.col("_dedup_marks").isNotNull() & column.isNotNull()
-    joined = joined.withColumn("_dedup_kept", F.when(touched, keep))
-    columns = [F.when(F.col("_dedup_kept").isNotNull(), F.array_join("_dedup_kept", "\n")).otherwise(column).alias(text) if c == text else F.col(f"`{c}`") for c in pages.columns]
-    return joined.select(*columns, F.coalesce(F.size(every) - F.size("_dedup_kept"), F.lit(0)).cast("bigint").alias("lines_dropped"))
+    keep = F.filter(every, lambda x: _blank(x) | ~F.array_contains(F.col(own[1]), F.xxhash64(x)))
+    joined = pages.join(hosts, F.col(f"`{host}`").cast("string") == F.col(own[0]), "left")
+    touched = F.col(own[1]).isNotNull() & column.isNotNull()
+    joined = joined.withColumn(own[2], F.when(touched, keep))
+    columns = [F.when(F.col(own[2]).isNotNull(), F.array_join(own[2], "\n")).otherwise(column).alias(text) if c == text else F.col(f"`{c}`") for c in pages.columns]
+    return joined.select(*columns, F.coalesce(F.size(every) - F.size(own[2]), F.lit(0)).cast("bigint").alias("lines_dropped"))
 
 
 #: DuckDB, for documents with ``source`` as host: the cleaned rows.

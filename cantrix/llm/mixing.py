@@ -19,25 +19,36 @@ GROUP = 128
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def _numbered(totals: DataFrame) -> DataFrame:
+    """``totals`` with ``place``, the number of each source in code point order from 0, null last; no task sorts all of them."""
+    order = F.col("source").asc_nulls_last()
+    parts = cut(totals.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    held = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row for each partition
+    before, at = {}, 0
+    for r in held:
+        before[r["part"]], at = at, at + r["n"]
+    first = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else F.create_map(F.lit(0), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return parts.withColumn("place", F.element_at(first, F.col("part")) + own).drop("part")
+
+
 def targets(totals: DataFrame, weights: tuple[int, ...], share: float, ceiling: float) -> DataFrame:
     """source, source_size, target: by weight, none above ``ceiling`` times its size, the excess reshared.
 
-    ``totals`` has a row for each source, so these orderings see sources only, never documents.
+    ``totals`` has a row for each source. Every round gives what is left to the sources below their cap,
+    by weight, and ends when that takes none of them above it: a few aggregations, each of two numbers.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    at = (F.row_number().over(by_name) - 1) % len(weights)
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (at + 1).cast("int"))
-    t = totals.select("source", "source_size", w.alias("w"), (ceiling * F.col("source_size")).alias("cap"))
-    # the water level: sources in the order in which they reach their cap
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    left = share * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    t = t.withColumn("place", F.row_number().over(order)).withColumn("level", left / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    fits = F.col("level") <= F.col("cap") / F.col("w")
-    first = F.min(F.when(fits, F.struct("place", "level"))).over(every)
-    t = t.withColumn("level", first["level"])
-    return t.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    t = cut(_numbered(totals).select("source", "source_size", w.alias("w"), (ceiling * F.col("source_size")).alias("cap")))
+    level, seen = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.col("w") * level
+        got = t.agg(F.sum("source_size").alias("all"), F.count_if(full).alias("n"), F.sum(F.when(full, F.col("cap"))).alias("full"), F.sum(F.when(~full, F.col("w"))).alias("open")).first()
+        if got["n"] == seen or not got["open"]:
+            break  # no source has come to its cap since the last round, or all have
+        seen, level = got["n"], (share * got["all"] - (got["full"] or 0.0)) / got["open"]
+    top = F.col("cap") if not got["open"] else F.least("cap", F.lit(level) * F.col("w"))
+    return t.select("source", "source_size", top.alias("target"))
 
 
 def _rate(x: Column, multiplier: Column, ceiling: float) -> Column:
@@ -117,11 +128,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     Size is the number of words ``[^\\x20\\x09-\\x0D]+`` (null: 0). Sources take the weights in code
     point order, null as a source of its own and last; all targets sum to ``share`` of all sizes, and
     none is above ``ceiling`` times its source's size. Documents of size 0 take 0 words; no document
-    has more than ``ceiling`` copies. Rows with equal key are rows of their own. The result depends on
-    the rows alone, not on their order or partitions. An empty table gives no rows.
+    has more than ``ceiling`` copies. Rows with equal or null key are rows of their own, told apart by their
+    texts. A very long text is one size like any other. Columns other than ``keep``, whatever their names,
+    are not read. The result depends on the rows alone, not on their order or partitions. An empty table
+    gives no rows.
     """
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(WORDS)), F.lit(0)).cast("bigint")
-    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"), *(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep or [])))
+    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("_text"), *(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep or [])))
     narrow = rows if keep else cut(rows)
     hist = cut(narrow.groupBy("source", "size").agg(F.count(F.lit(1)).alias("cnt")))
     totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("cnt")).alias("source_size"), F.sum("cnt").alias("n_docs"))
@@ -130,16 +143,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     cells = rounded(hist, multipliers(hist, goals, float(ceiling), steps, tolerance), float(ceiling))
     cells = cells.select(F.col("source").alias("_s"), F.col("size").alias("_size"), "cnt", "source_size", "target", F.col("copies").alias("_all"))
 
-    # large cells are ranked in parts, by a hash of the key
+    # large cells are ranked in parts, by a hash of key and text
     joined = narrow.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_size")))
-    chance = F.xxhash64(F.col("_key").cast("string"), "size")
-    joined = joined.withColumn("_part", F.pmod(chance, F.ceil(F.col("cnt") / GROUP)).cast("int")).withColumn("_at", F.xxhash64(F.col("_key").cast("string"), F.lit(1)))
+    joined = joined.withColumn("_part", F.pmod(F.xxhash64(F.col("_key").cast("string"), "size", "_text"), F.ceil(F.col("cnt") / GROUP)).cast("int")).withColumn("_at", F.xxhash64(F.col("_key").cast("string"), F.lit(1)))
     same = ["_src", "size", "_part"]
     joined = joined.withColumn("_src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("_s", "_size")
     parts = joined.filter(F.col("cnt") > GROUP).groupBy(*same).agg(F.count(F.lit(1)).alias("_held"))
     before = Window.partitionBy("_src", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*same, F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"))
-    order = Window.partitionBy(*same).orderBy("_at", F.col("_key").cast("string"))
+    order = Window.partitionBy(*same).orderBy("_at", F.col("_key").cast("string"), "_text")
     ranked = joined.withColumn("_rank", F.row_number().over(order) - 1).join(parts, same, "left")
     rank = F.col("_rank") + F.coalesce("_before", F.lit(0))
     copies = F.floor(F.col("_all") / F.col("cnt")) + F.when(rank < F.col("_all") % F.col("cnt"), 1).otherwise(0)

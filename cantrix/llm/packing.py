@@ -128,12 +128,14 @@ def pack(docs: DataFrame, window: int = 1024, text: str = "text", key: str = "do
 
     A document is its ids and then id 0; a null or empty text is id 0 alone. Full windows are
     sequences of their own; tails share sequences by best fit decreasing, and their offsets run
-    gapless from 0. Repeated rows are packed as often as they occur; an empty table gives no rows.
-    Which of several tails of one length takes which place depends on a hash of the key alone.
+    gapless from 0. Repeated rows are packed as often as they occur; rows with one key, or none, and
+    different texts are dealt apart by the checksums of their pieces. A very long text is tokenised whole, as
+    a chunk of its own. Other columns, whatever their names, are not read. An empty table gives no rows.
+    Which of several tails of one length takes which place depends on hashes of key and ids alone.
     """
     rows = cut(pieces(docs, window, text, key, vocabulary, with_ids))
     groups = max(1, rows.count() // GROUP)
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), "start"), F.lit(groups)).cast("int"))
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), "start", "ids_crc32", "doc_tokens"), F.lit(groups)).cast("int"))
     held = cut(rows.groupBy("length", "_group").agg(F.count(F.lit(1)).alias("_held")))
     counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("_held").alias("n")).collect()}
     runs, sequences = best_fit_decreasing({k: v for k, v in counts.items() if k < window}, window)
@@ -141,7 +143,7 @@ def pack(docs: DataFrame, window: int = 1024, text: str = "text", key: str = "do
         runs.append((window, 0, counts[window], sequences, 0))
     before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     held = held.select("length", "_group", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"))
-    order = Window.partitionBy("length", "_group").orderBy(F.col(f"`{key}`").cast("string"), "start", "ids_crc32")
+    order = Window.partitionBy("length", "_group").orderBy(F.col(f"`{key}`").cast("string"), "start", "ids_crc32", "doc_tokens")
     ranked = rows.withColumn("_rank", F.row_number().over(order) - 1).join(held, ["length", "_group"])
     # at most a few runs for each length and capacity: bounded by the window, not by the input
     plan = rows.sparkSession.createDataFrame(runs or [(0, 0, 0, 0, 0)], "_length bigint, _first bigint, _end bigint, _sequence bigint, _offset bigint")

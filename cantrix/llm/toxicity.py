@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import TEXT, add_columns, crc_mod, sums
@@ -19,9 +19,10 @@ from .textbuf import LOWER, NOT_ALNUM, Texts, chunks, span_hash, splitmix, words
 
 @dataclass(frozen=True)
 class Setting:
-    """fit_rows: bound of the labelled sample, whole texts chosen by a hash of their id."""
+    """Bounds of the labelled sample: ``fit_rows`` labels, chosen by a hash of their id, with one text of at most ``fit_chars`` characters each."""
 
     fit_rows: int = 12_000
+    fit_chars: int = 200_000
     bits: int = 20
     opening: int = 5
     features: int = 1024
@@ -75,8 +76,11 @@ def _sample(docs: DataFrame, labels: DataFrame, setting: Setting, rows, text: st
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(term.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(t.first, len(t)), lists], ["label", "terms"])
 
-    own = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").cast("string").alias(TEXT))
-    own = own.join(F.broadcast(known), "_id").select("_label", TEXT)  # at most fit_rows ids
+    own = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").cast("string").alias(TEXT)).filter(F.coalesce(F.length(TEXT), F.lit(0)) <= setting.fit_chars)
+    own = own.join(F.broadcast(known), "_id")  # at most fit_rows ids
+    # an id that several rows have gives its first text by hash, one for each of its labels
+    place = F.row_number().over(Window.partitionBy("_id", "_label").orderBy(F.xxhash64(TEXT), TEXT))
+    own = own.withColumn("_place", place).filter("_place = 1").select("_label", TEXT)
     return own.mapInArrow(run, "label int, terms array<int>").toArrow()
 
 
@@ -133,8 +137,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, setting: Setting | None = None,
 
     Labels of rows whose crc32 of ``key`` as text leaves ``held_out[1]`` modulo ``held_out[0]`` are
     never learned from, nor are null labels. A score sees the text alone; an empty or null text has
-    the score of no terms. With labels of one kind only, every score is near that kind. Repeated
-    rows give repeated results; an empty table gives no rows.
+    the score of no terms, a very long one the score of all its terms. With labels of one kind only, every
+    score is near that kind. Repeated rows give repeated results; an id with several labels is learned from
+    once with each; columns other than ``keep`` are not read; an empty table gives no rows.
     """
     setting = setting or Setting()
     fold = F.coalesce(crc_mod(f"`{key}`", held_out[0]) == held_out[1], F.lit(False))

@@ -174,3 +174,60 @@ def test_line_dedup(spark):
 @pytest.mark.parametrize("op", [quality_rules, token_counts, license_scan, line_dedup, languages])
 def test_empty_table(spark, op):
     assert op(table(spark, []).limit(0)).count() == 0
+
+
+def brute_spans(scanner, run):
+    """Spans of a run of word numbers by comparing every place with every place of each template."""
+    scan, out = scanner.scan, []
+    for template, text in enumerate(scanner.texts):
+        found = []
+        for i in range(1, len(run) + 1):
+            for j in range(1, len(text) + 1):
+                n = 0
+                while n < min(i, j) and run[i - 1 - n] == text[j - 1 - n]:
+                    n += 1
+                if n >= scan.least and not (i < len(run) and j < len(text) and run[i] == text[j]):
+                    found.append((i, j, n))
+        best = []
+        for end, at, n in found:
+            options = [(n, end - n)]
+            for (e, a, _), (covered, first) in zip(found, best, strict=False):
+                if e < end and a < at and end - n - e <= scan.gap and at - n - a <= scan.gap:
+                    options.append((covered + min(end - max(e, end - n), at - max(a, at - n)), first))
+            best.append(max(options))
+        out += [(-c, -c / len(text), first, end, template) for (c, first), (end, _, _) in zip(best, found, strict=True) if c >= scan.cover * len(text)]
+    chosen = []
+    for covered, _, first, end, template in sorted(out):
+        if all(end <= a or first >= b for _, a, b, _ in chosen):
+            chosen.append((template, first, end, -covered))
+    return chosen
+
+
+def test_license_chains(spark):
+    rng = random.Random(12)
+    scanner = licenses.Scanner(licenses.Scan())
+    texts = [x.split() for several in licenses.TEMPLATES.values() for x in several]
+    files = []
+    for _ in range(40):
+        w = rng.choices("zq the of and license software kk ll".split(), k=rng.randint(0, 12))
+        for _ in range(rng.randint(0, 3)):
+            own = list(rng.choice(texts))
+            for _ in range(rng.randint(0, 6)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randint(0, 2)] = rng.choices("zq the kk".split(), k=rng.randint(0, 14 if rng.random() < 0.2 else 2))
+                own = own or ["zq"]
+            w += own + rng.choices("zq the of and kk ll".split(), k=rng.randint(0, 30))
+        files.append(w)
+    files.append(texts[3] + texts[3] + ["zq"] * 30 + texts[3])
+    got = {r["doc_id"]: r for r in license_scan(table(spark, [" ".join(w) for w in files])).collect()}
+    several = 0
+    for i, w in enumerate(files):
+        want = brute_spans(scanner, [scanner.number.get(x, -1 - k) for k, x in enumerate(w)])
+        labels = {scanner.names[t] for t, *_ in want}
+        base = set(filter(None, got[i]["base_labels"].split(",")))
+        assert got[i]["labels"] == ",".join(sorted(labels | base))
+        assert got[i]["score"] == pytest.approx(max((c / len(scanner.texts[t]) for t, _, _, c in want), default=0.5 if base else 0.0))
+        assert got[i]["span_first"] == min((a for _, a, _, _ in want), default=None)
+        assert got[i]["span_last"] == max((b - 1 for _, _, b, _ in want), default=None)
+        several += len(want) > 1
+    assert several > 5
