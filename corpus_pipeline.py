@@ -20,34 +20,58 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+    """Documents that the toxicity model does not reject.
+
+    A null or empty text is scored as a text without terms, a very long one by all its terms. Every row is
+    judged on its own, so repeated rows stay or go together; a null doc_id is kept. Empty tables give no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity(docs, labels, keep=COLUMNS)
     return scored.filter("predicted = 0").select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; n_chars follows the text."""
+    """Documents without their source's boilerplate lines; n_chars follows the text.
+
+    Rows with a null text or source stay as they are. A line above the ratio goes wherever it stands, so ties
+    need no rule; repeated rows are pages of their own. Empty tables give no rows.
+    """
     out = line_dedup(docs.select(*COLUMNS), least_pages=2)
     return out.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of equal rows with that id, one."""
-    groups = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    null_id = docs.filter("doc_id is null")
-    kept = docs.select(*COLUMNS).join(groups, "doc_id").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return kept.unionByName(null_id.select(*COLUMNS))
+    """One row of each group: the smallest doc_id, null last, then the smallest hash of the row; of equal rows, one.
+
+    Groups are of rows, so two unlinked texts under one doc_id, or under none, both stay. Texts without a
+    word (null, empty) link with nothing and all stay. Empty tables give no rows.
+    """
+    marked = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_mark"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_mark").alias("mark"))
+    groups = jaccard_components(marked.withColumn("_row", row), key="_row")
+    kept = groups.filter("n_shingles > 0 and _row = component_id").select(F.col("_row.mark").alias("_mark")).distinct()
+    blank = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    # equal rows become one before they are shuffled
+    worded = marked.filter(~blank).dropDuplicates(["_mark"]).join(kept, "_mark", "left_semi")
+    return worded.unionByName(marked.filter(blank)).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it.
+
+    Texts without a word have size 0; of rows of one source and size, hashes of key and text decide which are
+    taken more often, so reruns agree. A null source is one of its own. Empty tables give no rows.
+    """
     copies = mix(docs, keep=["text", "lang", "source", "n_chars"])
     return copies.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences of at most 1024 tokens."""
+    """Pieces of the mixed documents in sequences of at most 1024 tokens.
+
+    A null or empty text is its end token alone, a very long one several pieces; copies are packed as often as
+    they occur. Empty tables give no rows.
+    """
     return pack(docs)
 
 
