@@ -9,9 +9,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cantrix.llm import jaccard
+from cantrix.llm import jaccard, neighbours
 from cantrix.llm.components import components
 from cantrix.llm.mixing import mix
 from cantrix.llm.neighbours import nearest
@@ -208,6 +209,33 @@ def test_mix(spark):
     assert mix(docs.limit(0)).count() == 0
 
 
+def test_nearest_rows_with_one_id(spark):
+    rows = [(0, [1.0, 2.0], 1), (1, [2.0, 2.0], 1), (1, [3.0, 2.0], 1), (100, [1.0, 2.0], 1), (100, [9.0, 9.0], 1), (3, [3.0, 2.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = collections.defaultdict(list)
+    for r in nearest(df).orderBy("query_id", "rank").collect():
+        got[r["query_id"], r["rank"]].append((r["vec_id"], round(r["score"], 6)))
+    assert [got[0, k] for k in range(1, 6)] == [[(100, 0.0)], [(1, 1.0)], [(1, 2.0)], [(3, 2.0)], [(100, round(113**0.5, 6))]]
+    assert sorted(got[100, 1]) == [(0, 0.0), (1, round(85**0.5, 6))]
+    assert nearest(df.withColumn("embedding", F.lit(None).cast("array<float>"))).count() == 0
+
+
+@pytest.mark.parametrize(("dims", "block"), [(24, 4096), (24, 100)])
+def test_nearest_recall(spark, monkeypatch, dims, block):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    x = np.random.default_rng(dims).normal(size=(7000, dims))
+    df = spark.createDataFrame([(i, v.tolist(), "clash", "clash") for i, v in enumerate(x)], "vec_id long, embedding array<double>, slot string, x string")
+    got = collections.defaultdict(set)
+    for r in nearest(df, every=500).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q, found in got.items():
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found & set(np.argsort(d)[:10].tolist()))
+    assert len(got) == 14 and hits >= 0.9 * 140
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(600, 16)).astype(np.float32)
@@ -247,5 +275,18 @@ def test_pipeline(spark):
             want = brute([r["text"] for r in before.values()], list(before))
             assert sorted(r[0] for r in rows) == sorted(i for i in before if want[i][1] == i)
         docs = spark.createDataFrame(rows, docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0, name
     last = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert collections.Counter(r["doc_id"] for r in last.filter("start = 0").collect()) == collections.Counter(r["doc_id"] for r in docs.collect())
+
+
+def test_near_duplicates_are_rows(spark):
+    """One row of each group stays, whatever its doc_id: repeated, null, or shared by unlinked texts."""
+    import corpus_pipeline
+
+    one, two = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(7, one, "en", "s", 1), (7, two, "en", "s", 1), (7, two, "en", "s", 1), (3, one + " more", "en", "t", 2), (None, two + " x", "en", "s", 1), (None, "other words", None, None, None), (None, "other words", None, None, None), (1, None, "en", "s", 0), (1, None, "en", "s", 0), (2, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert collections.Counter(got) == collections.Counter([rows[3], rows[1], rows[5], rows[7], rows[8], rows[9]])
