@@ -14,7 +14,7 @@ LETTERS = {"b": "p", "d": "t", "g": "k", "c": "k", "q": "k", "v": "f", "w": "f",
 #: Vocalises without a meaning.
 VOCALISES = ("na", "la", "oh", "ah", "ho", "da", "ba", "hey", "ya", "woah", "wo", "uh", "doo", "ooh", "yeah")
 #: First and last code point by script.
-SCRIPTS = (("ko", 0xAC00, 0xD7A3), ("ko", 0x1100, 0x11FF), ("ja", 0x3040, 0x30FF), ("zh", 0x4E00, 0x9FFF), ("ru", 0x0400, 0x04FF), ("el", 0x0370, 0x03FF), ("he", 0x0590, 0x05FF), ("ar", 0x0600, 0x06FF), ("th", 0x0E00, 0x0E7F))
+SCRIPTS = (("ko", 0xAC00, 0xD7A3), ("ko", 0x1100, 0x11FF), ("ja", 0x3040, 0x30FF), ("zh", 0x4E00, 0x9FFF), ("ru", 0x0400, 0x04FF), ("el", 0x0370, 0x03FF), ("ar", 0x0600, 0x06FF), ("he", 0x0590, 0x05FF), ("th", 0x0E00, 0x0E7F))
 
 
 def split_words(text: Column) -> Column:
@@ -69,6 +69,25 @@ def sound_key(text: Column, spell_numbers: bool = False) -> Column:
     return F.replace(F.regexp_replace(s, r"([^x])\1+", "$1"), F.lit("x"), F.lit("ks"))
 
 
+def sound_forms(text: Column) -> Column:
+    """Sound keys of a word: one, or those of a number spelled in Dutch and in English."""
+    from .numbers import spelled
+
+    digits = F.regexp_replace(text, r"[^0-9]", "")
+    number = digits.try_cast("bigint")
+    forms = F.array_distinct(F.array(sound_key(spelled(number, "nl")), sound_key(spelled(number, "en"))))
+    return F.when(is_pure_number(text) & (F.length(digits) <= 9), forms).otherwise(F.array(sound_key(text)))
+
+
+def sound_of(word: str) -> str:
+    """``sound_key`` of one word, outside Spark."""
+    s = "".join(c for c in word.lower() if c.isalpha())
+    for a, b in DIGRAPHS:
+        s = s.replace(a, b)
+    s = s.translate(str.maketrans(LETTERS) | dict.fromkeys(map(ord, DROPPED)))
+    return "".join(c for i, c in enumerate(s) if c == "x" or i == 0 or s[i - 1] != c).replace("x", "ks")
+
+
 def folded(key: Column) -> Column:
     """The shortest unit that the key repeats at least twice, its start may follow; else the key."""
     units = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.length(key) / 2).cast("int"))), lambda n: (n * 2 <= F.length(key)) & (F.substring(key, n + 1, F.length(key)) == F.substring(key, F.lit(1), F.length(key) - n)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -9,8 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import sound_forms, sound_key, sound_of
+
 #: Fixed values of the global alignment.
-GAP, BASE, MULTI = 0.15, 0.45, 0.05
+GAP, BASE, MULTI, HALF = 0.15, 0.45, 0.05, 0.3
+#: Words of the left and the right text that a step takes, in the order in which equal scores decide.
+MOVES = ((2, 1), (1, 2), (1, 1), (1, 0), (0, 1))
+#: Pairs of texts that are aligned at once.
+TEXTS = 64
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -43,95 +50,241 @@ def same_text(a: Column, b: Column) -> Column:
 
 def levenshtein_similarity(a: str, b: str) -> float:
     """1 - distance / longest, 0 where one is empty."""
-    if not a or not b:
-        return 0.0
-    before = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
+    return float(1.0 - _distances([a], [b])[0]) if a and b else 0.0
+
+
+@functools.lru_cache(maxsize=100_000)
+def _unit(key: str) -> str:
+    """The shortest unit that the key repeats at least twice, whose start may follow; else the key."""
+    return next((key[:n] for n in range(1, len(key) // 2 + 1) if key[n:] == key[:-n]), key)
+
+
+def similarities(left: list[str], right: list[str]) -> np.ndarray:
+    """Similarity of each pair of sound keys, all distances at once: see ``functions.text.key_similarity``."""
+    out = np.zeros(len(left))
+    a, b = [_unit(x) for x in left], [_unit(x) for x in right]
+    far = []
+    for k, (x, y, p, q) in enumerate(zip(left, right, a, b, strict=True)):
+        if not x or not y:
+            continue
+        if x == y:
+            out[k] = 1.0
+        elif p == q:
+            out[k] = 0.95
+        else:
+            short, long = (p, q) if len(p) <= len(q) else (q, p)
+            if len(short) >= 3 and short in long:
+                out[k] = len(short) / len(long)
+            else:
+                far.append(k)
+    for low in range(0, len(far), 100_000):
+        some = far[low : low + 100_000]
+        out[some] = 1.0 - _distances([a[k] for k in some], [b[k] for k in some])
+    return out
+
+
+def _codes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([len(x) for x in keys])
+    codes = np.zeros((int(size.max()), len(keys)), np.int32)
+    for k, x in enumerate(keys):
+        codes[: len(x), k] = [ord(c) for c in x]
+    return codes, size
+
+
+def _distances(left: list[str], right: list[str]) -> np.ndarray:
+    """Levenshtein distance over the longer length, cell by cell of the table and all pairs in one operation."""
+    (x, m), (y, n) = _codes(left), _codes(right)
+    before = np.repeat(np.arange(len(y) + 1, dtype=np.int16)[:, None], len(left), 1)
+    out = np.zeros(len(left))
+    for i in range(len(x)):
+        now = np.empty_like(before)
+        now[0] = i + 1
+        for j in range(len(y)):
+            now[j + 1] = np.minimum(np.minimum(before[j + 1], now[j]) + 1, before[j] + (x[i] != y[j]))
+        done = np.flatnonzero(m == i + 1)
+        out[done] = now[n[done], done]
         before = now
-    return 1.0 - before[-1] / max(len(a), len(b))
+    return out / np.maximum(m, n)
+
+
+class _Similarity:
+    """Similarities by key pair for one batch of texts; each distinct pair is computed once."""
+
+    def __init__(self, similarity) -> None:
+        self.similarity = similarity
+
+    def __call__(self, left: list[str], right: list[str]) -> np.ndarray:
+        if not left:
+            return np.zeros(0)
+        (a, names), (b, others) = pd.factorize(np.array(left, object)), pd.factorize(np.array(right, object))
+        code, at = np.unique(a * len(others) + b, return_inverse=True)
+        found = self.similarity([names[k] for k in code // len(others)], [others[k] for k in code % len(others)])
+        return found[at]
+
 
+def align(left: list[str], right: list[str], similarity=None) -> list[tuple[int, int, float]]:
+    """Alignment of two word lists by their sound keys; ``similarity`` compares the words themselves instead."""
+    if similarity is None:
+        return align_keys([([[sound_of(x)] for x in left], [sound_of(x) for x in right])])[0]
+    return align_keys([([[x] for x in left], list(right))], lambda a, b: np.array([similarity(x, y) for x, y in zip(a, b, strict=True)]))[0]
 
-def align(left: list[str], right: list[str], similarity=levenshtein_similarity) -> list[tuple[int, int, float]]:
-    """Global alignment of two word lists: (left, right, similarity) of the pairs.
 
-    Each skipped word costs ``GAP``, a pair earns its similarity less ``BASE``. One left word may
-    match two joined right words, or two one, at ``MULTI`` less. Of equal scores the first move wins.
+def align_keys(texts: list[tuple[list[list[str]], list[str]]], similarity=similarities) -> list[list[tuple[int, int, float]]]:
+    """Global alignment of each pair of texts: (left, right, similarity) of the words that are coupled.
+
+    A left word has one key or more (a number spelled in several languages), of which the one that fits best
+    counts. Each skipped word costs ``GAP``, a couple earns its similarity less ``BASE``. Two joined left
+    words may couple with one right word, or one with two, at ``MULTI`` less, where one of the two alone has a
+    similarity of ``HALF`` at least. Of equal scores the first move of ``MOVES`` wins.
     """
-    n, m = len(left), len(right)
-    memo: dict[tuple[str, str], float] = {}
-
-    def sim(a: str, b: str) -> float:
-        if (a, b) not in memo:
-            memo[a, b] = similarity(a, b)
-        return memo[a, b]
-
-    score = [[-GAP * (i + j) for j in range(m + 1)] for i in range(n + 1)]
-    move = [[(0, 0, 0.0)] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        for j in range(m + 1):
+    sim = _Similarity(similarity)
+    many, rows, cols = len(texts), max((len(x) for x, _ in texts), default=0), max((len(y) for _, y in texts), default=0)
+    one, best = np.full((many, rows, cols), -np.inf), np.zeros((many, rows, cols), np.int64)
+    at, a, b = [], [], []
+    for t, (x, y) in enumerate(texts):
+        for i, forms in enumerate(x):
+            for f, form in enumerate(forms):
+                at.append((t, i, f))
+                a += [form] * len(y)
+                b += y
+    got, low = sim(a, b), 0
+    for t, i, f in at:
+        n = len(texts[t][1])
+        own = got[low : low + n]
+        better = own > one[t, i, :n]
+        one[t, i, :n][better], best[t, i, :n][better] = own[better], f
+        low += n
+    two_one, one_two = np.full((many, max(rows - 1, 0), cols), -np.inf), np.full((many, rows, max(cols - 1, 0)), -np.inf)
+    if rows > 1:
+        t, i, j = np.nonzero(np.maximum(one[:, :-1], one[:, 1:]) >= HALF)
+        keep = np.isfinite(one[t, i + 1, j])
+        t, i, j = t[keep], i[keep], j[keep]
+        joined = [texts[p][0][q][best[p, q, r]] + texts[p][0][q + 1][best[p, q + 1, r]] for p, q, r in zip(t.tolist(), i.tolist(), j.tolist(), strict=True)]
+        two_one[t, i, j] = sim(joined, [texts[p][1][r] for p, r in zip(t.tolist(), j.tolist(), strict=True)])
+    if cols > 1:
+        # the form of a number is chosen against both right words together
+        t, i, j = np.nonzero(np.maximum(one[:, :, :-1], one[:, :, 1:]) >= HALF)
+        keep = np.isfinite(one[t, i, j + 1])
+        todo = [(p, q, r, form) for p, q, r in zip(t[keep].tolist(), i[keep].tolist(), j[keep].tolist(), strict=True) for form in texts[p][0][q]]
+        got = sim([form for *_, form in todo], [texts[p][1][r] + texts[p][1][r + 1] for p, _, r, _ in todo])
+        if todo:
+            p, q, r = (np.array(x) for x in zip(*(x[:3] for x in todo), strict=True))
+            np.maximum.at(one_two, (p, q, r), got)
+    return _paths(texts, one, two_one, one_two)
+
+
+def _paths(texts: list, one: np.ndarray, two_one: np.ndarray, one_two: np.ndarray) -> list[list[tuple[int, int, float]]]:
+    many, rows, cols = one.shape
+    score = np.zeros((rows + 1, cols + 1, many))
+    move = np.zeros((rows + 1, cols + 1, many), np.int8)
+    one, two_one, one_two = (np.moveaxis(x, 0, 2).copy() for x in (one, two_one, one_two))
+    for i in range(rows + 1):
+        for j in range(cols + 1):
             if not i and not j:
                 continue
-            options = []
-            for a, b in ((1, 1), (1, 2), (2, 1)):
-                if i >= a and j >= b:
-                    s = sim("".join(left[i - a : i]), "".join(right[j - b : j]))
-                    options.append((score[i - a][j - b] + s - BASE - MULTI * (a + b > 2), (a, b, s)))
-            if i:
-                options.append((score[i - 1][j] - GAP, (1, 0, 0.0)))
-            if j:
-                options.append((score[i][j - 1] - GAP, (0, 1, 0.0)))
-            best = options[0]
-            for o in options[1:]:
-                if o[0] > best[0]:
-                    best = o
-            score[i][j], move[i][j] = best
-    out, i, j = [], n, m
-    while i or j:
-        a, b, s = move[i][j]
-        if a and b:
-            out += [(i - 1 - x, j - 1 - y, s) for x in range(a) for y in range(b)]
-        i, j = i - a, j - b
-    return sorted(out)
+            top, own = np.full(many, -np.inf), np.zeros(many, np.int8)
+            for number, (di, dj) in enumerate(MOVES):
+                if i < di or j < dj:
+                    continue
+                value = score[i - di, j - dj]
+                if di and dj:
+                    sims = one if di == dj else two_one if di > dj else one_two
+                    value = value + (sims[i - di, j - dj] - BASE)
+                    if di != dj:
+                        value = value - MULTI
+                else:
+                    value = value - GAP
+                better = value > top
+                top = np.where(better, value, top)
+                own[better] = number
+            score[i, j], move[i, j] = top, own
+    out = []
+    for t, (x, y) in enumerate(texts):
+        i, j, pairs = len(x), len(y), []
+        while i or j:
+            di, dj = MOVES[move[i, j, t]]
+            if di and dj:
+                sims = one if di == dj else two_one if di > dj else one_two
+                s = float(sims[i - di, j - dj, t])
+                pairs += [(i - 1 - p, j - 1 - q, s) for p in range(di) for q in range(dj)]
+            i, j = i - di, j - dj
+        out.append(sorted(pairs))
+    return out
 
 
 def aligned(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """key, left_pos, right_pos, similarity for each aligned pair of words of each row's two arrays."""
+    """key, left_pos, right_pos, similarity for each couple of words of each row's two arrays, by their sound keys.
+
+    Keys are made by expressions; the alignment runs over batches of ``TEXTS`` pairs of texts, each cell of
+    the table for all of them at once. A null array is an empty text; an empty text couples with nothing.
+    """
     kind = pairs.schema[key].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
-            rows = [(k, i, j, s) for k, a, b in zip(pdf[key], pdf[left], pdf[right], strict=True) for i, j, s in align(list(a), list(b))]
-            yield pd.DataFrame(rows, columns=[key, "left_pos", "right_pos", "similarity"])
+            pdf = pdf.assign(size=[len(x) * len(y) for x, y in zip(pdf["l"], pdf["r"], strict=True)]).sort_values("size", kind="stable")
+            for low in range(0, len(pdf), TEXTS):
+                some = pdf.iloc[low : low + TEXTS]
+                texts = [([list(f) for f in x], list(y)) for x, y in zip(some["l"], some["r"], strict=True)]
+                rows = [(k, i, j, s) for k, found in zip(some[key], align_keys(texts), strict=True) for i, j, s in found]
+                yield pd.DataFrame(rows, columns=[key, "left_pos", "right_pos", "similarity"])
+
+    empty = F.array().cast("array<string>")
+    forms = F.transform(F.coalesce(left, empty), sound_forms)
+    keys = F.transform(F.coalesce(right, empty), lambda x: sound_key(x, spell_numbers=True))
+    return pairs.select(key, forms.alias("l"), keys.alias("r")).mapInPandas(run, f"{key} {kind}, left_pos int, right_pos int, similarity double")
+
 
-    return pairs.select(key, left, right).mapInPandas(run, f"{key} {kind}, left_pos int, right_pos int, similarity double")
+def _near(sounds: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (later, earlier) whose letters in common allow a similarity of ``threshold``."""
+    units = [_unit(x) for x in sounds]
+    letters = np.stack([np.bincount([ord(c) % 32 for c in x], minlength=32) for x in units]).astype(np.int16)
+    size = np.array([len(x) for x in units])
+    later, earlier = [], []
+    for k in range(1, len(units)):
+        common = np.minimum(letters[:k], letters[k]).sum(1)
+        hit = np.flatnonzero(common >= threshold * np.maximum(size[:k], size[k]) - 1e-9)
+        later.append(np.full(len(hit), k))
+        earlier.append(hit)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(none + later), np.concatenate(none + earlier)
+
+
+def leader_of(texts: list[list[str]], threshold: float) -> list[list[str]]:
+    """For each text's sounds, in order, the first leader that is similar enough, or the sound itself."""
+    pairs = [_near(x, threshold) for x in texts]
+    like = _Similarity(similarities)([x[k] for x, (a, _) in zip(texts, pairs, strict=True) for k in a.tolist()], [x[k] for x, (_, b) in zip(texts, pairs, strict=True) for k in b.tolist()])
+    out, low = [], 0
+    for sounds, (later, earlier) in zip(texts, pairs, strict=True):
+        fits = like[low : low + len(later)] >= threshold
+        low += len(later)
+        lead, first = list(range(len(sounds))), np.searchsorted(later[fits], np.arange(len(sounds) + 1))
+        earlier = earlier[fits].tolist()
+        for k in range(len(sounds)):
+            lead[k] = next((e for e in earlier[first[k] : first[k + 1]] if lead[e] == e), k)
+        out.append([sounds[k] for k in lead])
+    return out
 
 
 def leaders(tokens: DataFrame, by: list[str], threshold: float = 0.65) -> DataFrame:
     """Greedy leader clustering of sound keys within a group: by falling frequency, each key joins the first leader that is similar enough.
 
-    ``tokens`` has ``sound`` and ``n``. The order decides, so a group is one task; groups are texts.
+    ``tokens`` has ``sound`` and ``n``. The order decides, so a group is one row of arrays; groups are texts.
+    Similarities of many groups are computed together.
     """
-    schema = ", ".join(f"{c} {tokens.schema[c].dataType.simpleString()}" for c in by) + ", sound string, n bigint, leader string"
+    kinds = ", ".join(f"{c} {tokens.schema[c].dataType.simpleString()}" for c in by)
+    each = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "sound")))
+    groups = tokens.groupBy(*by).agg(each.alias("every"))
+    groups = groups.select(*by, F.col("every.sound").alias("sounds"), F.transform("every", lambda x: -x["order"]).alias("n"))
+    # the work is in the pairs, not in the bytes by which partitions would be put together
+    groups = groups.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "sound"], ascending=[False, True])
-        chosen: list[str] = []
-        out = []
-        # letters in common bound the distance from below, so most leaders are passed without it
-        letters, lengths = np.zeros((len(pdf), 32), np.int16), np.zeros(len(pdf), np.int64)
-        for sound in pdf["sound"]:
-            own, k = np.bincount([ord(x) % 32 for x in sound], minlength=32).astype(np.int16), len(chosen)
-            longest = np.maximum(lengths[:k], len(sound))
-            near = np.flatnonzero(1.0 - (longest - np.minimum(letters[:k], own).sum(1)) / np.maximum(longest, 1) >= threshold)
-            lead = next((chosen[i] for i in near if levenshtein_similarity(chosen[i], sound) >= threshold), None)
-            if lead is None:
-                letters[k], lengths[k] = own, len(sound)
-                chosen.append(sound)
-                lead = sound
-            out.append(lead)
-        return pdf.assign(leader=out)[[*by, "sound", "n", "leader"]]
-
-    return tokens.groupBy(*by).applyInPandas(run, schema)
+    def run(batches):
+        for pdf in batches:
+            for low in range(0, len(pdf), TEXTS):
+                some = pdf.iloc[low : low + TEXTS]
+                found = leader_of([list(x) for x in some["sounds"]], threshold)
+                yield some.assign(leader=found)[[*by, "sounds", "n", "leader"]]
+
+    found = groups.mapInPandas(run, f"{kinds}, sounds array<string>, n array<bigint>, leader array<string>")
+    return found.select(*by, F.explode(F.arrays_zip("sounds", "n", "leader")).alias("x")).select(*by, F.col("x.sounds").alias("sound"), "x.n", "x.leader")

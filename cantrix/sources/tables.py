@@ -1,10 +1,40 @@
-"""The driver's tables by name."""
+"""The driver's tables by name, and tables written between the rounds of an iteration."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of the folder, which may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local master, whose workers share the driver's disk, may go without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{tempfile.gettempdir()}/cantrix-checkpoints"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again: no plan or lineage grows, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cantrix-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # at exit the JVM may be gone, and the folder with it
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cantrix.functions import text as T
 from cantrix.operators import align, graph, intervals, nearest, sequence, stats
 
 
@@ -92,11 +93,96 @@ def test_graph(spark):
     assert {r["label"] for r in graph.components(p).collect()} == {0, 40}
 
 
-@pytest.mark.parametrize(("left", "right", "pairs"), [(["kedeng", "er", "een"], ["kedeng", "ereen"], [(0, 0), (1, 1), (2, 1)]), ([], ["a"], []), (["koffie"], ["thee"], [])])
+#: By spelling, as before sound keys decided.
+SPELLING = [(["kedeng", "er", "een"], ["kedeng", "ereen"], [(0, 0), (1, 1), (2, 1)]), ([], ["a"], [])]
+#: By sound: a couple that merges, unlike words that stay apart, a number that is heard in English, a vocalise that no half resembles.
+SOUND = [
+    (["kedeng", "kedeng", "kilometers"], ["gedengedeng", "kilometers"], [(0, 0), (1, 0), (2, 1)]),
+    (["kilometers", "spoor"], ["kilo", "meters", "spoor"], [(0, 0), (0, 1), (1, 2)]),
+    (["koffie"], ["thee"], []),
+    (["a"], [], []),
+]
+
+
+@pytest.mark.parametrize(("left", "right", "pairs"), SPELLING)
+def test_align_by_spelling(left, right, pairs):
+    assert [(i, j) for i, j, _ in align.align(left, right, align.levenshtein_similarity)] == pairs
+
+
+@pytest.mark.parametrize(("left", "right", "pairs"), SOUND)
 def test_align(left, right, pairs):
     assert [(i, j) for i, j, _ in align.align(left, right)] == pairs
 
 
+def similarity(a, b):
+    """One pair of sound keys, from the definition."""
+    unit = lambda k: next((k[:n] for n in range(1, len(k) // 2 + 1) if (k[:n] * len(k))[: len(k)] == k), k)
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    x, y = sorted((unit(a), unit(b)), key=len)
+    return 0.95 if x == y else len(x) / len(y) if len(x) >= 3 and x in y else align.levenshtein_similarity(x, y)
+
+
+def plain_align(left, right):
+    """The alignment cell by cell, forwards from each reached cell; an equal score never replaces one."""
+    n, m, s = len(left), len(right), similarity
+    best, move = {(0, 0): 0.0}, {}
+    for i in range(n + 1):
+        for j in range(m + 1):
+            here, steps = best[i, j], []
+            if i < n:
+                steps.append((i + 1, j, here - 0.15, None))
+            if j < m:
+                steps.append((i, j + 1, here - 0.15, None))
+            if i < n and j < m:
+                x = s(left[i], right[j])
+                steps.append((i + 1, j + 1, here + (x - 0.45), x))
+            if i + 1 < n and j < m and max(s(left[i], right[j]), s(left[i + 1], right[j])) >= 0.3:
+                x = s(left[i] + left[i + 1], right[j])
+                steps.append((i + 2, j + 1, here + (x - 0.45) - 0.05, x))
+            if i < n and j + 1 < m and max(s(left[i], right[j]), s(left[i], right[j + 1])) >= 0.3:
+                x = s(left[i], right[j] + right[j + 1])
+                steps.append((i + 1, j + 2, here + (x - 0.45) - 0.05, x))
+            for p, q, value, x in steps:
+                if value > best.get((p, q), float("-inf")):
+                    best[p, q], move[p, q] = value, (i, j, x)
+    out, at = [], (n, m)
+    while at in move:
+        i, j, x = move[at]
+        if x is not None:
+            out += [(p, q, x) for p in range(i, at[0]) for q in range(j, at[1])]
+        at = (i, j)
+    return sorted(out)
+
+
+def test_align_against_plain_recurrence(spark):
+    rng = random.Random(7)
+    words = "kedeng kedengkedeng trein de het spoor kilometers la lala oe oeh koffie thee een er eren x".split()
+    texts = [(rng.choices(words, k=rng.randint(0, 9)), rng.choices(words, k=rng.randint(0, 12))) for _ in range(90)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(texts)], "key long, a array<string>, b array<string>")
+    found = {i: [] for i in range(len(texts))}
+    for r in align.aligned(df, "key", "a", "b").collect():
+        found[r["key"]].append((r["left_pos"], r["right_pos"], r["similarity"]))
+    for i, (a, b) in enumerate(texts):
+        want = plain_align([T.sound_of(x) for x in a], [T.sound_of(x) for x in b])
+        assert [x[:2] for x in sorted(found[i])] == [x[:2] for x in want]
+        assert [x[2] for x in sorted(found[i])] == pytest.approx([x[2] for x in want])
+
+
+def test_numbers_have_two_sounds(spark):
+    df = spark.createDataFrame([(1, ["500", "meter"], ["five", "hundred", "meter"]), (2, ["500", "meter"], ["vijfhonderd", "meter"]), (3, None, ["a"])], "key long, a array<string>, b array<string>")
+    got = {(r["key"], r["left_pos"], r["right_pos"]) for r in align.aligned(df, "key", "a", "b").collect()}
+    assert got == {(1, 0, 0), (1, 0, 1), (1, 1, 2), (2, 0, 0), (2, 1, 1)}
+
+
+def test_sound_of_equals_the_expression(spark):
+    words = ["Kedeng", "gedengedeng", "schoen", "Ça", "xx", "exxit", "rauw", "500", "l'été", "", "Höhe", "ijs-je"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select(T.sound_key(F.col("w")))
+    assert [r[0] for r in df.collect()] == [T.sound_of(w) for w in words]
+
+
 def test_text_ratio(spark):
     df = spark.createDataFrame([("abcd", "abcd"), ("abcd", "wxyz")], "a string, b string")
     assert [r[0] for r in df.select(align.same_text(F.col("a"), F.col("b"))).collect()] == [True, False]
