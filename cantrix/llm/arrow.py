@@ -30,16 +30,21 @@ def add_columns(df: DataFrame, text: str, keep: list[str], schema: str, of: Call
     names = [x.split()[0] for x in schema.split(", ")]
     types = [f.type for f in _arrow(df.sparkSession, schema)]
 
+    # a text that is kept as it is crosses to Python once
+    at = keep.index(text) if text in keep and kept[text] == "string" else len(keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = of()
         for b in batches:
-            for t in chunks(b.column(len(keep))):
+            for t in chunks(b.column(at)):
                 got = each(t)
                 own = [b.column(i).slice(t.first, len(t)) for i in range(len(keep))]
                 made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip((got[n] for n in names), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*own, *made], [*keep, *names])
+        pa.default_memory_pool().release_unused()
 
-    return df.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").cast("string").alias(TEXT)).mapInArrow(run, out)
+    columns = [F.col(f"`{k}`") for k in keep] + [F.col(f"`{text}`").cast("string").alias(TEXT)] * (at == len(keep))
+    return df.select(*columns).mapInArrow(run, out)
 
 
 def _arrow(spark: SparkSession, schema: str) -> pa.Schema:

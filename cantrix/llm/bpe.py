@@ -26,7 +26,7 @@ LETTER, NUMBER, SPACE, OTHER, EDGE, UNKNOWN = range(6)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Pre-tokens kept between batches, with their ids.
-CACHE = 300_000
+CACHE = 50_000
 
 
 #: Below this code point the classes of all Unicode versions agree.

@@ -25,14 +25,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import KEY, TEXT, cut, drop, sums
 from .components import components
-from .textbuf import U64, Texts, chunks, spans, splitmix, words
+from .textbuf import U64, Texts, chunks, numbered, spans, splitmix, words
 
 #: Nodes of a posting list that are paired one by one; longer lists go to blocks.
 LIST = 64
@@ -43,7 +42,7 @@ PIVOTS = 12
 #: Tokens of the broadcast table of frequent tokens (12 bytes each).
 TABLE = 400_000
 #: Index entries of a bucket, about, and those that a task gathers before it deals them out.
-ENTRIES, GATHER = 500_000, 1_000_000
+ENTRIES, GATHER = 500_000, 400_000
 #: Bits of the broadcast filter of active nodes, at most: 16 MB. A full filter only costs time.
 FILTER_BITS = 1 << 27
 #: Digests that one task remembers to write copies once; forgetting costs only time.
@@ -121,6 +120,7 @@ def sets_of(docs: DataFrame, percent: int, text: str, key: str) -> DataFrame:
                 buffers = (np.packbits(sent, bitorder="little").tobytes(), ends.astype(np.int64).tobytes(), data)
                 tokens = pa.Array.from_buffers(pa.large_binary(), len(t), [pa.py_buffer(x) for x in buffers]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(t.first, len(t)), pa.array(n), pa.array(digest), tokens], [KEY, "n_shingles", "node", "tokens"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias(TEXT)).mapInArrow(run, f"{KEY} {kind}, n_shingles bigint, node bigint, tokens binary")
 
@@ -296,6 +296,8 @@ def candidates(sets: DataFrame, percent: int, table: tuple[np.ndarray, np.ndarra
                 held, count = [], 0
         if count:
             yield deal()
+        held = []
+        pa.default_memory_pool().release_unused()
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[bytes]] = [[] for _ in KINDS]
@@ -341,7 +343,7 @@ def candidates(sets: DataFrame, percent: int, table: tuple[np.ndarray, np.ndarra
 
 def _shared(owner: np.ndarray, token: np.ndarray, sets: int) -> np.ndarray:
     """How many tokens each pair of sets shares, from (set, token) entries without repeats."""
-    code, found = pd.factorize(token)
+    code, found = numbered(token)
     several = np.bincount(code, minlength=len(found)) > 1
     number = np.cumsum(several) - 1
     owner, code = owner[several[code]], number[code[several[code]]]

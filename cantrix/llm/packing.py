@@ -118,6 +118,7 @@ def pieces(docs: DataFrame, window: int, text: str, key: str, vocabulary: str |
                     columns.append(pa.array([x.astype(np.int32) for x in parts], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        pa.default_memory_pool().release_unused()
 
     schema = f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
     return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias(TEXT)).mapInArrow(run, schema)

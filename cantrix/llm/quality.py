@@ -11,11 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from .arrow import add_columns, sums
-from .textbuf import Texts, distinct, spans, splitmix, words
+from .textbuf import Texts, distinct, numbered, spans, splitmix, words
 
 #: The signs that count as symbols.
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -35,10 +34,8 @@ class Limits:
 
 def _groups(h: np.ndarray, at: np.ndarray, n: int, number: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Group of each window of n words (``at`` where it starts), the groups' sizes and first members."""
-    group, found = pd.factorize(h)
-    size = np.bincount(group, minlength=len(found))
-    first = np.empty(len(found), np.int64)
-    first[group[::-1]] = np.arange(len(h) - 1, -1, -1)
+    group, first = numbered(h)
+    size = np.bincount(group, minlength=len(first))
     twice = np.flatnonzero(size[group] > 1)
     a, b = at[twice], at[first[group[twice]]]
     if not ((row[a] == row[b]).all() and all((number[a + k] == number[b + k]).all() for k in range(n))):  # 2**-64 a pair

@@ -11,10 +11,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES, ROWS = 1 << 20, 1024
 U64 = np.uint64
 
 #: The separators of ``[^\x20\x09-\x0D]+``.
@@ -57,23 +56,26 @@ class Texts:
 
 
 def chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[Texts]:
-    """The column's texts in row order, null as empty with valid False; each chunk has whole texts."""
+    """The column's texts in row order, null as empty with valid False; each chunk has whole texts.
+
+    Rows are taken ``ROWS`` at a time, so no copy of a whole batch is made.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if not len(column):
-        return
-    valid = ~np.asarray(column.is_null())
-    column = column.cast(pa.large_string()).fill_null("")
-    _, off, data = column.buffers()
-    offsets = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    start = 0
-    while start < len(column):
-        stop = int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1
-        stop = min(max(stop, start + 1), len(column))
-        low, high = offsets[start], offsets[stop]
-        yield Texts(start, data[low:high], offsets[start : stop + 1] - low, valid[start:stop])
-        start = stop
+    for base in range(0, len(column), ROWS):
+        some = column.slice(base, ROWS)
+        valid = ~np.asarray(some.is_null())
+        some = some.cast(pa.large_string()).fill_null("")
+        _, off, data = some.buffers()
+        offsets = np.frombuffer(off, np.int64)[some.offset : some.offset + len(some) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        start = 0
+        while start < len(some):
+            stop = int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1
+            stop = min(max(stop, start + 1), len(some))
+            low, high = offsets[start], offsets[stop]
+            yield Texts(base + start, data[low:high], offsets[start : stop + 1] - low, valid[start:stop])
+            start = stop
 
 
 @dataclass
@@ -161,8 +163,7 @@ def distinct(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     length = stop - start
     value, first, count = lanes(data, start, stop)
-    number, found = pd.factorize(_spans_hash(value, first, count, length))
-    pick = _first_of(number, len(found))
+    number, pick = numbered(_spans_hash(value, first, count, length))
     like = pick[number]
     same = np.array_equal(length[like], length)
     if same:
@@ -170,15 +171,21 @@ def distinct(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.
         same = np.array_equal(value[at], value)
     if not same:
         blob = data.tobytes()
-        number, found = pd.factorize(np.array([blob[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)], object))
-        pick = _first_of(number, len(found))
+        seen: dict[bytes, int] = {}
+        number = np.array([seen.setdefault(blob[a:b], len(seen)) for a, b in zip(start.tolist(), stop.tolist(), strict=True)])
+        pick = np.unique(number, return_index=True)[1]
     return number, pick
 
 
-def _first_of(number: np.ndarray, n: int) -> np.ndarray:
-    pick = np.empty(n, np.int64)
-    pick[number[::-1]] = np.arange(len(number) - 1, -1, -1)
-    return pick
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each value, equal where values are equal, and the first place of each number."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(values), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:

@@ -11,10 +11,12 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cantrix.llm import bpe, licenses
-from cantrix.llm.languages import languages
+from cantrix.llm import bpe, licenses, textbuf
+from cantrix.llm import toxicity as toxic
+from cantrix.llm.languages import Setting, languages, learn
 from cantrix.llm.line_dedup import line_dedup
 from cantrix.llm.licenses import license_scan
 from cantrix.llm.quality import quality_rules
@@ -58,6 +60,30 @@ def test_ids_are_those_of_the_library(some):
     assert bpe.shared().count(t).tolist() == [len(x) for x in want]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=20), max_size=12))
+def test_spans_of_one_fingerprint_are_told_apart(some):
+    data, ends = np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)])
+    kept = textbuf._spans_hash
+    for of in (kept, lambda value, first, *_: np.zeros(len(first), np.uint64)):
+        textbuf._spans_hash = of
+        try:
+            number, pick = textbuf.distinct(data, ends[:-1], ends[1:])
+        finally:
+            textbuf._spans_hash = kept
+        assert [some[pick[k]] for k in number] == some
+        assert len(pick) == len(set(some)) and all(some.index(some[k]) == k for k in pick)
+
+
+def test_words_that_collide_in_polynomials(spark):
+    """The sequence of Thue and Morse and its complement have one value in every polynomial modulo 2**64."""
+    one, two = ("".join("ab"[(i.bit_count() + k) % 2] for i in range(1024)) for k in (0, 1))
+    some = [one + " x", two + " x", one + "\n" + two + "\n" + one, f"{one} {two}"]
+    rows = table(spark, some)
+    assert [r["n_dup_lines"] for r in quality_rules(rows).orderBy("doc_id").collect()] == [0, 0, 1, 0]
+    assert [r["n_tokens"] for r in token_counts(rows).orderBy("doc_id").collect()] == [len(LIBRARY.encode(x).ids) for x in some]
+
+
 def test_token_counts(spark, texts):
     got = {r["doc_id"]: r for r in token_counts(table(spark, texts)).collect()}
     for i, t in enumerate(texts):
@@ -171,6 +197,81 @@ def test_line_dedup(spark):
         assert got[r[0]]["text"] == want
 
 
+def test_language_counts_from_the_definition(spark):
+    """Hits by sets of n-grams instead of bit masks: the same prediction, and rates that differ by false positives only."""
+    rng = random.Random(14)
+    sides = {"en": "the thing and wonder with shall".split(), "fr": "le chose et merveille avec déjà".split(), "nl": "het ding en wonder met zal".split()}
+    some = [(" ".join(rng.choices(sides[x], k=rng.choice([8, 40]))), x) for x in rng.choices(list(sides), k=150)]
+    setting = Setting()
+    filters = learn(spark.createDataFrame(some, "text string, lang string"), setting, "text", "lang", F.lit(True))
+    (t,) = chunks(pa.array([x for x, _ in some]))
+    bare = [re.sub(rb"[^a-z\x80-\xff]", b" ", x.lower().encode()) for x, _ in some]
+    names, hits, total = filters.names, np.zeros((len(some), 3)), np.zeros(len(some))
+    for n in setting.grams:
+        held = [[{x[i : i + n] for i in range(len(x) - n + 1)} for x, (_, y) in zip(bare, some, strict=True) if y == name] for name in names]
+        share = [collections.Counter(g for d in own for g in d) for own in held]
+        rate = [{g: c / len(own) for g, c in s.items()} for s, own in zip(share, held, strict=True)]
+        kept = [{g for g, c in s.items() if c > 1 and r[g] >= setting.share * max(x.get(g, 0) for x in rate)} for s, r in zip(share, rate, strict=True)]
+        for i, x in enumerate(bare):
+            grams = [x[k : k + n] for k in range(len(x) - n + 1)]
+            total[i] += len(grams)
+            hits[i] += [sum(g in k for g in grams) for k in kept]
+    want = hits / total[:, None]
+    got = filters.rates(t)
+    assert np.abs(got - want).max() < 0.01
+    name, score = filters.predict(t)
+    assert name == [names[k] for k in want.argmax(1)] and name == [y for _, y in some]
+    assert score == pytest.approx(got.max(1) / got.sum(1))
+
+
+def test_toxicity_score_from_the_definition(spark):
+    """The score as a sum over pairs of terms; training lowers the loss of the constant score."""
+    rng = random.Random(15)
+    rows = []
+    for i in range(900):
+        a, b = rng.random() < 0.4, rng.random() < 0.4
+        rows.append((i, " ".join(rng.choices("alpha beta gamma delta".split(), k=8) + ["insult"] * a + ["group"] * b), int(a and b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    settings_ = toxic.Setting()
+    m = toxic.fit(docs, docs, settings_, F.lit(True), "text", "doc_id", "toxic")
+    texts = [None, "", "alpha insult", "alpha insult group", *(x for _, x, _ in rows[:60])]
+    (t,) = chunks(pa.array(texts))
+    term, row = toxic.terms(t, settings_)
+    got = m.score(t)
+    for i in range(len(texts)):
+        own = [m.number[x] for x in term[row == i] if m.number[x] >= 0]
+        y = m.bias + sum(m.w[k] for k in own) + sum(float(m.v[a] @ m.v[b]) for i_, a in enumerate(own) for b in own[:i_])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-y)))
+    y = np.array([z for _, _, z in rows[:60]])
+    loss = lambda p: -np.mean(np.log(np.where(y, p, 1 - p)))
+    assert loss(got[4:]) < loss(np.mean([z for _, _, z in rows])) / 2
+    assert got[3] > 0.5 > got[2]
+
+
+def test_repeated_ids_and_copies_stay_bounded(spark):
+    """Copies and repeated ids are learned from once."""
+    rows = [(1, "le chose et", "fr", 1)] * 400 + [(k, f"the thing {k}", "en", 0) for k in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    known = toxic._sample(docs, docs.select("doc_id", "toxic").distinct(), toxic.Setting(), F.lit(True), "text", "doc_id", "toxic")
+    assert len(known) == 29
+    assert languages(docs).count() == 428
+
+
+@pytest.mark.parametrize("op", [quality_rules, token_counts, license_scan, line_dedup, languages])
+def test_null_texts_and_very_long_ones(spark, op):
+    """Only nulls; then one text of four megabytes beside short ones, with a null source and key."""
+    assert op(table(spark, [None] * 5)).count() == 5
+    long = "een heel lange tekst met woorden\n" * 120_000
+    got = op(table(spark, [long, None, "x"]).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id"))))
+    assert got.count() == 3 and got.filter("doc_id is null").count() == 1
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "menu\nown " + str(i), "h", "mine", "mine", "mine") for i in range(6)], "doc_id long, text string, source string, _dedup_host string, _DEDUP_marks string, _dedup_kept string")
+    got = line_dedup(docs, least_pages=2).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(i, f"own {i}", "h", "mine", "mine", "mine", 1) for i in range(6)]
+
+
 @pytest.mark.parametrize("op", [quality_rules, token_counts, license_scan, line_dedup, languages])
 def test_empty_table(spark, op):
     assert op(table(spark, []).limit(0)).count() == 0
