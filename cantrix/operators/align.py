@@ -232,7 +232,9 @@ def aligned(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
     empty = F.array().cast("array<string>")
     forms = F.transform(F.coalesce(left, empty), sound_forms)
     keys = F.transform(F.coalesce(right, empty), lambda x: sound_key(x, spell_numbers=True))
-    return pairs.select(key, forms.alias("l"), keys.alias("r")).mapInPandas(run, f"{key} {kind}, left_pos int, right_pos int, similarity double")
+    # the work is in the cells, not in the bytes by which partitions would be put together
+    texts = pairs.select(key, left, right).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return texts.select(key, forms.alias("l"), keys.alias("r")).mapInPandas(run, f"{key} {kind}, left_pos int, right_pos int, similarity double")
 
 
 def _near(sounds: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:

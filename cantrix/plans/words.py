@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -34,12 +34,18 @@ def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).withColumn("norm", T.normalize_word(F.col("word"))).filter("norm != ''")
 
 
+def _counted(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Normalised words with ``n``; each spelling is counted as it stands first, so expressions run once for a spelling."""
+    raw = words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *more)
+    return raw.withColumn("norm", T.normalize_word(F.col("word"))).filter("norm != ''")
+
+
 @query(f"""with {WORDS}, n as (select {NORM} as norm from words), f as (select norm, count(*) as n from n where norm <> '' group by norm),
 k as (select {duck_key("norm")} as sound, norm, n from f)
 select sound, sum(n)::bigint as heard, count(*) as spellings, min(norm) as first_spelling from k where sound <> '' group by sound""")
 def sound_key_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each sound key is heard, and in how many spellings; keys are made once per spelling."""
-    counts = _normal(spark, sf_dir).groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
+    counts = _counted(spark, sf_dir).groupBy("norm").agg(F.sum("n").alias("n"))
     keyed = counts.select(T.sound_key(F.col("norm")).alias("sound"), "norm", "n").filter("sound != ''")
     return keyed.groupBy("sound").agg(F.sum("n").alias("heard"), F.count(F.lit(1)).alias("spellings"), F.min("norm").alias("first_spelling"))
 
@@ -47,7 +53,7 @@ def sound_key_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {WORDS}, n as (select {NORM} as norm from words) select norm as word, count(*) as n from n where norm <> '' group by 1")
 def word_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised words by how often they occur."""
-    return _normal(spark, sf_dir).groupBy(F.col("norm").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    return _counted(spark, sf_dir).groupBy(F.col("norm").alias("word")).agg(F.sum("n").alias("n"))
 
 
 @query(f"""with {WORDS}, n as (select {NORM} as norm, doc_id, pos from words), f as (select norm as word, count(*) as n, min(doc_id * 1000000 + pos) as seen from n where norm <> '' group by 1)
@@ -55,14 +61,14 @@ select word, n, row_number() over (order by n desc, seen) as place from f order
 def most_common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 25 most frequent words; ties in order of first appearance."""
     seen = F.min(F.col("doc_id") * 1000000 + F.col("pos"))
-    top = _normal(spark, sf_dir).groupBy(F.col("norm").alias("word")).agg(F.count(F.lit(1)).alias("n"), seen.alias("seen")).orderBy(F.desc("n"), "seen").limit(25)
+    top = _counted(spark, sf_dir, seen.alias("seen")).groupBy(F.col("norm").alias("word")).agg(F.sum("n").alias("n"), F.min("seen").alias("seen")).orderBy(F.desc("n"), "seen").limit(25)
     return top.select("word", "n", F.row_number().over(Window.orderBy(F.desc("n"), "seen")).alias("place"))
 
 
 @query(f"with {WORDS}, n as (select {NORM} as norm from words) select norm as word, count(*) as n from n where norm <> '' and len(norm) <= 3 group by 1")
 def short_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies of words of at most three letters."""
-    return _normal(spark, sf_dir).filter(F.length("norm") <= 3).groupBy(F.col("norm").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    return _counted(spark, sf_dir).filter(F.length("norm") <= 3).groupBy(F.col("norm").alias("word")).agg(F.sum("n").alias("n"))
 
 
 @query(f"""with {WORDS}, n as (select doc_id, lang, {NORM} as norm from words)
@@ -83,7 +89,11 @@ select doc_id, count(*) as words, count(k.sound) as known from d left join k usi
 def words_in_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, words whose sound key occurs in the reference texts."""
     known = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).select(T.sound_key(F.col("w")).alias("sound")).distinct().withColumn("hit", F.lit(1))
-    return _normal(spark, sf_dir).select("doc_id", T.sound_key(F.col("norm")).alias("sound")).join(known, "sound", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.count("hit").alias("known"))
+    # a document's words are counted first; keys are made and looked up once for each spelling
+    own = words(spark, sf_dir).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    spelling = own.select("word").distinct().withColumn("norm", T.normalize_word(F.col("word"))).filter("norm != ''")
+    spelling = spelling.select("word", T.sound_key(F.col("norm")).alias("sound")).join(known, "sound", "left").select("word", "hit")
+    return own.join(spelling, "word").groupBy("doc_id").agg(F.sum("n").alias("words"), F.coalesce(F.sum(F.when(F.col("hit").isNotNull(), F.col("n"))), F.lit(0)).alias("known"))
 
 
 @query(f"""with {WORDS}, n as (select distinct {NORM} as norm from words), k as (select distinct {duck_key("norm")} as a from n where norm <> ''), f as (select a, {duck_fold("a")} as fa from k where regexp_full_match(a, '[a-z]+')),
