@@ -36,3 +36,18 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents with their position from 1."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", "lang", F.posexplode(split_words(F.col("text"))).alias("pos", "word")).withColumn("pos", F.col("pos") + 1)
+
+
+#: DuckDB: words with made-up times in whole milliseconds, in lines of 8 and blocks of 32 words, as ``heard`` below.
+HEARD = f"""{WORDS}, heard as (select doc_id as song, pos, word, (pos - 1) // 8 as line, (pos - 1) // 32 as block, pos * 400 + (len(word) * 37) % 150 as start,
+  pos * 400 + (len(word) * 37) % 150 + 100 + 60 * len(word) as stop, ((len(word) * 7) % 10) / 10.0 as confidence from words)"""
+
+
+def heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents as heard words of a song, with times that follow from place and length."""
+    n = F.length("word")
+    start = F.col("pos") * 400 + (n * 37) % 150
+    return words(spark, sf_dir).select(
+        F.col("doc_id").alias("song"), F.col("pos").cast("bigint").alias("pos"), "word", F.floor((F.col("pos") - 1) / 8).alias("line"), F.floor((F.col("pos") - 1) / 32).alias("block"),
+        start.cast("bigint").alias("start"), (start + 100 + 60 * n).cast("bigint").alias("stop"), (((n * 7) % 10) / 10.0).cast("double").alias("confidence"),
+    )
