@@ -109,6 +109,7 @@ class Bpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.core = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole = self.prove(ranks)
+        self.core._mergeable_ranks = {}  # the merges have their own copy
         self.one = self.core._core_bpe.encode_single_piece
         self.cache: dict[str, list[int]] = {}
 

@@ -50,6 +50,8 @@ REMEMBER = 1_000_000
 WORDS = 5
 #: Tokens of a set for each further prefix token that a candidate has to share.
 CHANCE = 48
+#: Rows of a batch that goes back to Spark.
+SLICE = 1 << 14
 COLUMNS = 4096  # of the token matrix that are multiplied at once
 
 
@@ -275,7 +277,7 @@ def candidates(sets: DataFrame, percent: int, table: tuple[np.ndarray, np.ndarra
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
 
-        def deal() -> pa.RecordBatch:
+        def deal() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(x).astype(k) for x, k in zip(zip(*held, strict=True), KINDS, strict=True)]
             by = np.where(columns[4] == 0, splitmix(columns[1].view(U64)), columns[0])
             bucket = (by % U64(buckets)).astype(np.int64)
@@ -284,7 +286,8 @@ def candidates(sets: DataFrame, percent: int, table: tuple[np.ndarray, np.ndarra
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             ends = np.append(cuts[1:], len(bucket))
             blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (c[order] for c in columns)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *blobs], ["bucket", *(x.split()[0] for x in ENTRY.split(", "))])
+            out = pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *blobs], ["bucket", *(x.split()[0] for x in ENTRY.split(", "))])
+            yield from (out.slice(at, 64) for at in range(0, len(out), 64))
 
         for b in _parts(batches, 1):
             h, row, first = _flat(b.column(1))
@@ -292,10 +295,10 @@ def candidates(sets: DataFrame, percent: int, table: tuple[np.ndarray, np.ndarra
             held.append(got)
             count += len(got[0])
             if count >= GATHER:
-                yield deal()
+                yield from deal()
                 held, count = [], 0
         if count:
-            yield deal()
+            yield from deal()
         held = []
         pa.default_memory_pool().release_unused()
 
@@ -303,7 +306,7 @@ def candidates(sets: DataFrame, percent: int, table: tuple[np.ndarray, np.ndarra
         held: list[list[bytes]] = [[] for _ in KINDS]
         now = None
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             token, node, n, place, need, far = (np.frombuffer(b"".join(x), k) for x, k in zip(held, KINDS, strict=True))
             n, place, need, far = (x.astype(np.int64) for x in (n, place, need, far))
             row = np.flatnonzero(need == 0)
@@ -313,19 +316,20 @@ def candidates(sets: DataFrame, percent: int, table: tuple[np.ndarray, np.ndarra
             row, index = np.concatenate([row, rest[long]]), np.concatenate([far[row], np.ones(len(long), np.int64)])
             none = np.zeros(len(row), np.int64)
             rows = (token[row].view(np.int64), node[row], n[row], none, index, none, none)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a.astype(np.int64), b])) for a, b in zip(found, rows, strict=True)], LISTED)
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([a.astype(np.int64), b])) for a, b in zip(found, rows, strict=True)], LISTED)
+            yield from (out.slice(at, SLICE) for at in range(0, len(out), SLICE))
 
         for batch in batches:  # sorted by bucket
             bucket = batch.column(0).to_numpy()
             for i in range(len(batch)):
                 if now is not None and bucket[i] != now:
-                    yield flush()
+                    yield from flush()
                     held = [[] for _ in KINDS]
                 now = bucket[i]
                 for k in range(len(KINDS)):
                     held[k].append(batch.column(k + 1)[i].as_py())
         if now is not None:
-            yield flush()
+            yield from flush()
 
     dealt = sets.select("node", "tokens").mapInArrow(index, f"bucket bigint, {ENTRY}")
     listed = cut(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(pairs, ", ".join(f"{x} bigint" for x in LISTED)))
@@ -338,6 +342,7 @@ def candidates(sets: DataFrame, percent: int, table: tuple[np.ndarray, np.ndarra
     met = joined.filter(F.col("own") | ((F.col("n") >= F.col("low")) & (F.ceil(F.col("n") * percent / 100) <= F.col("high"))))
     edges, met = cut(enough), cut(met.select(F.col("head").alias("u"), F.col("node").alias("v")).distinct())
     drop(listed)
+    shared.destroy()
     return edges, met
 
 
@@ -460,7 +465,7 @@ def rest_tasks(met: DataFrame, links: DataFrame) -> DataFrame:
 def verified(sets: DataFrame, percent: int, table: tuple[np.ndarray, np.ndarray], edges: DataFrame, met: DataFrame) -> DataFrame:
     """Links (u, v) that connect what the candidate edges and the long lists allow."""
     dealt = cut(first_tasks(edges, met))
-    links = cut(checked(sets, percent, table, dealt))
+    links = checked(sets, percent, table, dealt)
     drop(dealt)
     rest = cut(rest_tasks(met, links))
     if rest.isEmpty():
@@ -515,7 +520,10 @@ def checked(sets: DataFrame, percent: int, table: tuple[np.ndarray, np.ndarray],
         if len(held) > 1:
             yield flush()
 
-    return grouped.mapInArrow(check, "u bigint, v bigint")
+    links = cut(grouped.mapInArrow(check, "u bigint, v bigint"))
+    active.destroy()
+    shared.destroy()
+    return links
 
 
 def _xxhash64(x: np.ndarray) -> np.ndarray:
