@@ -35,12 +35,21 @@ def clipped_length(start: Column, stop: Column, low: Column, high: Column) -> Co
 
 
 def covered(windows: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
-    """Per window: covered and uncovered length, by the union of the spans clipped to it."""
-    union = merged(spans, by).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("start").alias("_s"), F.col("stop").alias("_e"))
-    hit = (F.col("_s") < F.col("stop")) & (F.col("_e") > F.col("start"))
-    both = windows.join(union, [*(F.col(c) == F.col(f"_{c}") for c in by), hit], "left")
-    length = F.sum(clipped_length(F.col("_s"), F.col("_e"), F.col("start"), F.col("stop")))
-    out = both.groupBy(*by, "start", "stop").agg(F.coalesce(length, F.lit(0)).alias("covered"))
+    """Per window: covered and uncovered length, by the union of the spans clipped to it.
+
+    The time covered up to a moment is what the spans begun by then are long, less what the last of them has
+    left; a window's share is the difference of its two ends. One sweep in time order, no pairs.
+    """
+    union = merged(spans, by).select(*by, F.col("start").alias("at"), F.lit(0).alias("side"), F.col("stop").alias("end"), (F.col("stop") - F.col("start")).alias("length"))
+    none = [F.lit(None).cast(union.schema[c].dataType).alias(c) for c in ("end", "length")]
+    own = windows.select(*by, "start", "stop").distinct()
+    points = own.select(*by, F.explode(F.array("start", "stop")).alias("at")).distinct()
+    every = union.withColumn("asked", F.lit(False)).unionByName(points.select(*by, "at", F.lit(1).alias("side"), *none, F.lit(True).alias("asked")))
+    w = _order(by, "at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    begun, last = F.coalesce(F.sum("length").over(w), F.lit(0)), F.last("end", True).over(w)
+    upto = every.withColumn("upto", begun - F.greatest(F.coalesce(last - F.col("at"), F.lit(0)), F.lit(0))).filter("asked").select(*by, "at", "upto")
+    both = own.join(upto.withColumnRenamed("at", "start").withColumnRenamed("upto", "_a"), [*by, "start"]).join(upto.withColumnRenamed("at", "stop").withColumnRenamed("upto", "_b"), [*by, "stop"])
+    out = both.select(*by, "start", "stop", (F.col("_b") - F.col("_a")).alias("covered"))
     return out.withColumn("uncovered", F.col("stop") - F.col("start") - F.col("covered"))
 
 
@@ -64,10 +73,17 @@ def only_in(a: DataFrame, b: DataFrame, by: list[str], least: float = 0) -> Data
 
 
 def overlapping(rows: DataFrame, spans: DataFrame, by: list[str], tolerance: float = 0, how: str = "left_semi") -> DataFrame:
-    """Rows that overlap some span by more than ``tolerance`` (or, with left_anti, none)."""
-    s = spans.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("start").alias("_s"), F.col("stop").alias("_e"))
-    on = [F.col(c) == F.col(f"_{c}") for c in by]
-    return rows.join(s, [*on, F.col("start") < F.col("_e") - tolerance, F.col("stop") > F.col("_s") + tolerance], how)
+    """Rows that overlap some span by more than ``tolerance`` (or, with left_anti, none).
+
+    Some span does if, of those that begin before the row's end, the latest end comes after the row's start:
+    one sweep in time order, no pairs. Rows without a time overlap nothing.
+    """
+    s = spans.select(*by, F.col("start").alias("_at"), F.lit(1).alias("_side"), F.col("stop").alias("_end"))
+    asked = rows.withColumn("_at", F.col("stop") - tolerance).withColumn("_side", F.lit(0)).withColumn("_end", F.lit(None).cast(s.schema["_end"].dataType))
+    latest = F.max("_end").over(_order(by, "_at", "_side").rowsBetween(Window.unboundedPreceding, -1))
+    swept = asked.unionByName(s, allowMissingColumns=True).withColumn("_latest", latest).filter("_side = 0")
+    hit = F.coalesce(F.col("_latest") > F.col("start") + tolerance, F.lit(False)) & F.col("_at").isNotNull()
+    return swept.filter(hit if how == "left_semi" else ~hit).select(*rows.columns)
 
 
 def pieces(spans: DataFrame, by: list[str], length: int, overlap: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def islands(rows: DataFrame, by: list[str], order: list[str], fresh: Column, name: str = "part") -> DataFrame:
     """Number runs of rows: ``fresh`` is true where a run begins. Numbers start at 1 in each track."""
@@ -70,6 +72,21 @@ def monotonic(items: Column, least: float) -> Column:
     return F.aggregate(items, empty, lambda done, x: F.when(F.size(done) == 0, F.array(F.struct(x["start"].alias("start"), F.greatest(x["stop"], x["start"] + least).alias("stop")))).otherwise(step(done, x)))
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """All rows numbered from 0 in the given order, which no task sorts as a whole.
+
+    Rows are dealt by ranges of the order and written; each range begins at the number of rows before it.
+    """
+    parts = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()  # a row for each partition
+    first, at = {-1: 0}, 0
+    for r in sizes:
+        first[r["_part"]], at = at, at + r["n"]
+    before = F.element_at(F.create_map(*(F.lit(x) for pair in first.items() for x in pair)), F.col("_part"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn(name, (before + own).cast("bigint")).drop("_part")
+
+
 def newest(rows: DataFrame, by: list[str], order: list[Column], keep: int) -> DataFrame:
     """The first ``keep`` rows of each key in the given order."""
     w = Window.partitionBy(*by).orderBy(*order)
