@@ -31,11 +31,11 @@ class Setting:
     A query stops once its leaves over all trees hold ``share`` of the sample, and ``visit`` vectors at least.
     """
 
-    trees: int = 16
+    trees: int = 8
     fit_rows: int = 60_000
     leaf: int = 192
     visit: int = 4096
-    share: float = 1.2
+    share: float = 1.1
     seed: int = 11
 
 
