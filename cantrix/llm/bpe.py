@@ -25,8 +25,6 @@ LETTER, NUMBER, SPACE, OTHER, EDGE, UNKNOWN = range(6)
 #: Suffixes that an apostrophe splits off, as in the pattern.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: Pre-tokens kept between batches, with their ids.
-CACHE = 50_000
 
 
 #: Below this code point the classes of all Unicode versions agree.
@@ -111,7 +109,6 @@ class Bpe:
         self.whole = self.prove(ranks)
         self.core._mergeable_ranks = {}  # the merges have their own copy
         self.one = self.core._core_bpe.encode_single_piece
-        self.cache: dict[str, list[int]] = {}
 
     def prove(self, ranks: dict[bytes, int]) -> dict[str, int]:
         """Vocabulary strings that are one pre-token and that the merges bring back to their own single id."""
@@ -127,17 +124,6 @@ class Bpe:
                 out[b.decode()] = i
         return out
 
-    def merge(self, piece: str) -> list[int]:
-        """Ids of a pre-token that is not one token."""
-        got = self.cache.get(piece)
-        if got is None:
-            got = self.one(piece.encode())
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            if len(piece) < 64:
-                self.cache[piece] = got
-        return got
-
     def pieces(self, t: Texts) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct pre-tokens of a chunk, then for each pre-token its number there and its text's row."""
         c = code_points(t)
@@ -173,8 +159,8 @@ class Bpe:
         for sub, rows in self.parts(t):
             if len(sub.data):
                 names, number, row = self.pieces(sub)
-                whole = self.whole
-                sizes = np.array([1 if x in whole else len(self.merge(x)) for x in names], np.int64)  # the edge's is never used
+                whole, one = self.whole, self.one
+                sizes = np.array([1 if x in whole else len(one(x.encode())) for x in names], np.int64)  # the edge's is never used
                 out += np.bincount(rows[row], weights=sizes[number], minlength=len(t)).astype(np.int64)
             special = ~sub.valid & (np.diff(sub.offsets) == 0) if sub is not t else np.zeros(len(sub), bool)
             out += np.bincount(rows[special], minlength=len(t))
@@ -188,8 +174,8 @@ class Bpe:
                 each = [np.zeros(0, np.uint32)] * len(sub)
             else:
                 names, number, row = self.pieces(sub)
-                whole = self.whole
-                got = [(whole[x],) if x in whole else self.merge(x) for x in names]
+                whole, one = self.whole, self.one
+                got = [(whole[x],) if x in whole else one(x.encode()) for x in names]
                 size = np.fromiter(map(len, got), np.int64, len(got))
                 first = np.cumsum(size) - size
                 table = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum()))

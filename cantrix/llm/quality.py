@@ -114,7 +114,7 @@ def _lines(t: Texts, w, points: np.ndarray, low: int, high: int, breaks: np.ndar
     start, stop, first, last = start[has], stop[has], first[has], last[has]
     if len(start) < 2:
         return 0, 0
-    number, pick = distinct(t.data, start, stop)
+    number, pick = distinct(t.data[low:high], start - low, stop - low)
     repeated = np.ones(len(number), bool)
     repeated[pick] = False
     if not repeated.any():

@@ -179,13 +179,11 @@ def distinct(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.
 
 def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A number for each value, equal where values are equal, and the first place of each number."""
-    order = np.argsort(values, kind="stable")
-    ordered = values[order]
-    new = np.ones(len(values), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    number = np.empty(len(values), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return number, order[new]
+    coded = pa.array(values).dictionary_encode()
+    number = coded.indices.to_numpy().astype(np.int64)
+    pick = np.empty(len(coded.dictionary), np.int64)
+    pick[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+    return number, pick
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
