@@ -64,7 +64,7 @@ def measure(t: Texts, limits: Limits) -> dict[str, np.ndarray]:
     n_symbols = symbols[t.offsets[1:]] - symbols[t.offsets[:-1]]
 
     rows = len(t)
-    repeat_words, dup_lines, dup_line_chars = (np.zeros(rows, np.int64) for _ in range(3))
+    repeat_words = np.zeros(rows, np.int64)
     shares = {f"dup_{n}gram_share": np.zeros(rows) for n in limits.duplicated} | {f"top_{n}gram_share": np.zeros(rows) for n in limits.commonest}
     some = np.maximum(word_chars, 1)
     number = distinct(t.data, w.start, w.stop)[0]
@@ -90,10 +90,7 @@ def measure(t: Texts, limits: Limits) -> dict[str, np.ndarray]:
             shares[f"dup_{n}gram_share"] = inside(at, n) / some
         if n == limits.window:
             repeat_words = sums(covered(len(w.row), at, n).astype(np.int64), w.first)
-    newline = np.flatnonzero(t.data == 10)
-    low, high = np.searchsorted(newline, t.offsets[:-1]), np.searchsorted(newline, t.offsets[1:])
-    for i in np.flatnonzero((high > low) & (n_words > 0)).tolist():
-        dup_lines[i], dup_line_chars[i] = _lines(t, w, points, t.offsets[i], t.offsets[i + 1], newline[low[i] : high[i]], w.of(i))
+    dup_lines, dup_line_chars = _lines(t, w, chars)
     failed = (n_words < limits.least_words) | (100 * repeat_words > limits.repeated_share * n_words)
     line_share = dup_line_chars / some
     bad = line_share > limits.line_share
@@ -104,24 +101,21 @@ def measure(t: Texts, limits: Limits) -> dict[str, np.ndarray]:
     return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeat_words, "base_failed": failed, "kept": ~(failed | bad), "dup_line_share": line_share, **shares}
 
 
-def _lines(t: Texts, w, points: np.ndarray, low: int, high: int, breaks: np.ndarray, own: slice) -> tuple[int, int]:
-    """Lines with a word that equal an earlier line, and the characters of their words."""
-    start = np.concatenate([[low], breaks + 1])
-    stop = np.concatenate([breaks, [high]])
-    first = np.searchsorted(w.start[own], start) + own.start
-    last = np.searchsorted(w.start[own], stop) + own.start
+def _lines(t: Texts, w, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the lines with a word that equal an earlier line of it, and the characters of their words."""
+    newline = np.flatnonzero(t.data == 10)
+    of_row = np.diff(np.searchsorted(newline, t.offsets))
+    start, stop = np.sort(np.concatenate([t.offsets[:-1], newline + 1])), np.sort(np.concatenate([t.offsets[1:], newline]))
+    row = np.repeat(np.arange(len(t)), of_row + 1)
+    first, last = np.searchsorted(w.start, start), np.searchsorted(w.start, stop)
     has = last > first
-    start, stop, first, last = start[has], stop[has], first[has], last[has]
-    if len(start) < 2:
-        return 0, 0
-    number, pick = distinct(t.data[low:high], start - low, stop - low)
-    repeated = np.ones(len(number), bool)
-    repeated[pick] = False
-    if not repeated.any():
-        return 0, 0
-    total = np.concatenate([[0], np.cumsum(points[w.stop[own]] - points[w.start[own]])])
-    size = total[last - own.start] - total[first - own.start]
-    return int(repeated.sum()), int(size[repeated].sum())
+    row, first, last = row[has], first[has], last[has]
+    number, _ = distinct(t.data, start[has], stop[has])
+    repeated = np.ones(len(row), bool)
+    repeated[numbered(row * (len(row) + 1) + number)[1]] = False
+    total = np.concatenate([[0], np.cumsum(chars)])
+    size = (total[last] - total[first])[repeated]
+    return np.bincount(row[repeated], minlength=len(t)), np.bincount(row[repeated], weights=size, minlength=len(t)).astype(np.int64)
 
 
 def quality_rules(docs: DataFrame, limits: Limits | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
