@@ -139,7 +139,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, np.repeat(np.arange(len(column)), np.diff(first)), first
 
 
-def _parts(batches: Iterator[pa.RecordBatch], tokens: int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], tokens: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``size`` bytes of tokens."""
     for b in batches:
         each = max(1, int(len(b) * size / max(b.column(tokens).nbytes, 1)))
@@ -272,13 +272,15 @@ def candidates(sets: DataFrame, percent: int, table: tuple[np.ndarray, np.ndarra
         keep = ~hot | probe
         token, of, place, hot, index = h[pick][keep], of[keep], place[keep], hot[keep], index[keep]
         # entries of long lists are dealt by node; a need of 0 marks them, and far whether they are index places
-        return token, node[of], n[of], place, np.where(hot, 0, need[of]), np.where(hot, index, far[of])
+        columns = token, node[of], n[of], place, np.where(hot, 0, need[of]), np.where(hot, index, far[of])
+        return tuple(x.astype(k, copy=False) for x, k in zip(columns, KINDS, strict=True))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
 
         def deal() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(x).astype(k) for x, k in zip(zip(*held, strict=True), KINDS, strict=True)]
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
             by = np.where(columns[4] == 0, splitmix(columns[1].view(U64)), columns[0])
             bucket = (by % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -296,7 +298,7 @@ def candidates(sets: DataFrame, percent: int, table: tuple[np.ndarray, np.ndarra
             count += len(got[0])
             if count >= GATHER:
                 yield from deal()
-                held, count = [], 0
+                count = 0
         if count:
             yield from deal()
         held = []
