@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from unicodedata import category
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,14 @@ def normalize_word(text: Column) -> Column:
     return F.regexp_replace(kept, r"^['’\-]+|['’\-]+$", "")
 
 
+def normalized(word: str) -> str:
+    """``normalize_word`` of one word, outside Spark."""
+    if word.isascii() and word.isalnum():
+        return word.lower()
+    kept = "".join(c for c in word.strip(" ").lower() if c in "'’-" or category(c)[0] in "LN")
+    return kept.strip("'’-")
+
+
 def letters_and_digits(text: Column) -> Column:
     """Lower case, letters and digits only."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")

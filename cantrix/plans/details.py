@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..operators import grams
 from ..sources.tables import table
 from .base import NORM, SPANS, WORDS, spans, words
 from .catalog import query
@@ -92,10 +92,7 @@ def second_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 select array_to_string(list_slice(w, 1, k), ' ') as gram, k, count(*) as n from w, (select unnest([1, 2, 3, 4, 5]) as k) where len(w) >= k group by all having count(*) >= 3""")
 def frequent_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one to five words that occur three times or more over all documents."""
-    n = words(spark, sf_dir).withColumn("norm", T.normalize_word(F.col("word")))
-    ahead = F.collect_list("norm").over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(0, 4))
-    grams = n.select(ahead.alias("w")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(F.col("w"), F.lit(1), k), " ").alias("gram")))).alias("g"))
-    return grams.groupBy("g.gram", "g.k").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    return grams.frequent(table(spark, sf_dir, "documents"), "text", 3)
 
 
 @query(f"""with {SPANS}, n as (select track, id, value, list(value) over (partition by track order by start, id rows between 2 preceding and 2 following exclude current row) as near from spans),

@@ -97,3 +97,19 @@ def test_sound_clusters(spark, tmp_path):
                 chosen.append(sound)
             want.append((i, sound, n[sound], lead))
     assert sorted(run(spark, "sound_clusters", tmp_path)) == sorted(want)
+
+
+def test_frequent_grams_in_small_chunks(spark, tmp_path, monkeypatch):
+    """Counts of many chunks are added, longer runs are looked for only where shorter ones are frequent, and no word is kept in a window."""
+    from cantrix.operators import grams
+
+    monkeypatch.setattr(grams, "CHUNK", 7)
+    rows = [(i, t) for i, t in enumerate(["a b - c  d e", "a b\tc d e a b", None, "", " a B - c d e", "x-y É'", "A b - c d, e a b x-y é", "b - c d e", "x-y é"])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    n = collections.Counter()
+    for _, t in rows:
+        w = [x.lower().strip(",'-") for x in (t or "").split()]
+        n.update((" ".join(w[i : i + k]), k) for i in range(len(w)) for k in range(1, 6) if i + k <= len(w))
+    df = catalog.queries()["frequent_grams"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted((*g, c) for g, c in n.items() if c >= 3)
+    assert "Window" not in df._jdf.queryExecution().toString()
