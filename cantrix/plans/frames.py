@@ -107,9 +107,16 @@ def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
 select track, place, source, round(case when blend < loudest / 2 then loudest else blend end, 6) as level, blend < loudest / 2 as repaired from b""")
 def repaired_dips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the blend falls 6 dB under its loudest part, that part stands in."""
-    p = _frames(spark, sf_dir).groupBy("track", F.floor(F.col("n") / 5).alias("place"), "label").agg(F.avg("level").alias("level"))
-    b = p.groupBy("track", "place").agg(F.avg("level").alias("blend"), F.max("level").alias("loudest"), F.max_by("label", F.struct("level", "label")).alias("source"))
-    dip = F.col("blend") < F.col("loudest") / 2
+    # a place has five frames at most, so sixty times a label's mean is a whole multiple of its sum: decimals decide where doubles are too near to tell
+    whole, n = F.col("level").try_cast("decimal(18,9)"), F.count("level")
+    exact = F.when(F.count(whole) == n, F.sum(whole) * F.try_divide(F.lit(60), n).cast("decimal(2,0)"))
+    p = _frames(spark, sf_dir).groupBy("track", F.floor(F.col("n") / 5).alias("place"), "label").agg(F.avg("level").alias("level"), exact.alias("exact"))
+    b = p.groupBy("track", "place").agg(
+        F.avg("level").alias("blend"), F.max("level").alias("loudest"), F.max_by("label", F.struct("level", "label")).alias("source"),
+        F.sum(F.col("exact") * F.lit(2).cast("decimal(1,0)")).alias("twice"), F.when(F.count("exact") == n, F.max("exact") * n.cast("decimal(1,0)")).alias("most"),
+    )
+    near = F.abs(F.col("blend") - F.col("loudest") / 2) <= 1e-9 * F.abs("loudest")
+    dip = F.coalesce(F.when(near, F.col("twice") < F.col("most")), F.col("blend") < F.col("loudest") / 2)
     return b.select("track", "place", "source", F.round(F.when(dip, F.col("loudest")).otherwise(F.col("blend")), 6).alias("level"), dip.alias("repaired"))
 
 

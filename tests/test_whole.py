@@ -4,6 +4,7 @@ import collections
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_operators import similarity
 
 from cantrix.functions import text as T
@@ -113,3 +114,19 @@ def test_frequent_grams_in_small_chunks(spark, tmp_path, monkeypatch):
     df = catalog.queries()["frequent_grams"](spark, str(tmp_path))
     assert sorted(map(tuple, df.collect())) == sorted((*g, c) for g, c in n.items() if c >= 3)
     assert "Window" not in df._jdf.queryExecution().toString()
+
+
+def test_repaired_dips_at_exactly_half(spark, tmp_path):
+    """Levels whose blend is half of the loudest in whole hundredths are no dip, in whatever order they are added."""
+    import datetime
+    import itertools
+
+    from cantrix.plans import frames  # noqa: F401
+
+    rows, i = [], 0
+    for track, order in enumerate(itertools.permutations([("error", 16.85), ("view", 15.55), ("click", 21.46), ("view", 61.71), ("purchase", 0.32)])):
+        for n, (label, value) in enumerate(order):
+            rows.append((i := i + 1, datetime.datetime(2024, 1, 1, n), track, label, value))
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = run(spark, "repaired_dips", tmp_path)
+    assert len(got) == 120 and {r[2:] for r in got} == {("view", 19.315, False)}
