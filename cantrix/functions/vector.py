@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
 
 
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value made once: inside a lambda an expression runs again for each element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -26,9 +33,12 @@ def cosine(a: Column, b: Column) -> Column:
 def standardized(a: Column, floor: float = 1e-8) -> Column:
     """Mean 0 and population deviation 1; the deviation is at least ``floor``."""
     n = F.size(a)
-    mean = total(F.transform(a, lambda x: x.cast("double"))) / n
-    spread = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
-    return F.transform(a, lambda x: (x - mean) / F.greatest(spread, F.lit(floor)))
+
+    def scaled(mean: Column) -> Column:
+        spread = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
+        return _bound(F.greatest(spread, F.lit(floor)), lambda d: F.transform(a, lambda x: (x - mean) / d))
+
+    return _bound(total(F.transform(a, lambda x: x.cast("double"))) / n, scaled)
 
 
 def rms(a: Column) -> Column:

@@ -130,3 +130,15 @@ def test_repaired_dips_at_exactly_half(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = run(spark, "repaired_dips", tmp_path)
     assert len(got) == 120 and {r[2:] for r in got} == {("view", 19.315, False)}
+
+
+def test_standardized_runs_in_proportion(spark):
+    """The mean and the spread are made once for a vector, not for each of its elements."""
+    import time
+
+    from cantrix.functions import vector as V
+
+    v = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda x: x.cast("double")).alias("e"))
+    at = time.time()
+    got = v.select(F.get(V.standardized(F.col("e")), F.lit(0))).first()[0]
+    assert time.time() - at < 30 and abs(got + np.sqrt(3 * 1999 / 2001)) < 1e-9
