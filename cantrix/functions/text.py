@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 from unicodedata import category
 
 from pyspark.sql import Column
@@ -88,6 +88,7 @@ def sound_forms(text: Column) -> Column:
     return F.when(is_pure_number(text) & (F.length(digits) <= 9), forms).otherwise(F.array(sound_key(text)))
 
 
+@lru_cache(maxsize=200_000)
 def sound_of(word: str) -> str:
     """``sound_key`` of one word, outside Spark."""
     s = "".join(c for c in word.lower() if c.isalpha())

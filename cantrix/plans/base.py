@@ -51,3 +51,12 @@ def heard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("song"), F.col("pos").cast("bigint").alias("pos"), "word", F.floor((F.col("pos") - 1) / 8).alias("line"), F.floor((F.col("pos") - 1) / 32).alias("block"),
         start.cast("bigint").alias("start"), (start + 100 + 60 * n).cast("bigint").alias("stop"), (((n * 7) % 10) / 10.0).cast("double").alias("confidence"),
     )
+
+
+def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Songs as ``texts``, an array for each: a document is a row already, only documents that share an id are brought together."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("song"), "text")
+    shared = F.broadcast(d.groupBy(F.col("song").alias("_song")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    same = F.col("song").eqNullSafe(F.col("_song"))
+    more = d.join(shared, same, "left_semi").groupBy("song").agg(F.collect_list("text").alias("texts"))
+    return d.join(shared, same, "left_anti").select("song", F.array("text").alias("texts")).unionByName(more)
