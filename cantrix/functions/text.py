@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache, reduce
 from unicodedata import category
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,6 +99,26 @@ def sound_of(word: str) -> str:
     return "".join(c for i, c in enumerate(s) if c == "x" or i == 0 or s[i - 1] != c).replace("x", "ks")
 
 
+def letters_and_spaces(text: Column) -> Column:
+    """Lower case; letters and what ends a word."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\s]+", "")
+
+
+def sounds_in(texts: list[str]) -> list[list[str]]:
+    """``sound_key`` of the words of each text of ``letters_and_spaces``, in order and without empty ones, for all texts in one operation."""
+    s = reduce(lambda s, p: s.replace(*p), DIGRAPHS, "\0".join(texts))
+    table = np.arange(128, dtype=np.uint32)
+    for a, b in LETTERS.items():
+        table[ord(a)] = ord(b)
+    table[[ord(c) for c in DROPPED]] = 127
+    codes = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    codes = np.where(codes < 128, table[codes & 127], codes)
+    codes = codes[codes != 127]
+    keep = np.ones(len(codes), bool)
+    keep[1:] = (codes[1:] != codes[:-1]) | (codes[1:] == ord("x")) | (codes[1:] == 0)
+    return [x.split() for x in codes[keep].tobytes().decode("utf-32-le").replace("x", "ks").split("\0")]
+
+
 def folded(key: Column) -> Column:
     """The shortest unit that the key repeats at least twice, its start may follow; else the key."""
     units = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.length(key) / 2).cast("int"))), lambda n: (n * 2 <= F.length(key)) & (F.substring(key, n + 1, F.length(key)) == F.substring(key, F.lit(1), F.length(key) - n)))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import collections
 import functools
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sound_forms, sound_key, sound_of
+from ..functions.text import letters_and_spaces, sound_forms, sound_key, sound_of, sounds_in
 
 #: Fixed values of the global alignment.
 GAP, BASE, MULTI, HALF = 0.15, 0.45, 0.05, 0.3
@@ -18,6 +21,10 @@ GAP, BASE, MULTI, HALF = 0.15, 0.45, 0.05, 0.3
 MOVES = ((2, 1), (1, 2), (1, 1), (1, 0), (0, 1))
 #: Pairs of texts that are aligned at once.
 TEXTS = 64
+#: Letters of texts whose keys are grouped at once, rows and cells of a table of letters in common, and pairs held.
+CHUNK, ROWS, CELLS, PAIRS = 2_000_000, 256, 4_000_000, 1_000_000
+#: Keys of more letters, or with a letter that is not among so many, are compared one by one.
+BITS, LETTERS = 32, 127
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -237,35 +244,218 @@ def aligned(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
     return texts.select(key, forms.alias("l"), keys.alias("r")).mapInPandas(run, f"{key} {kind}, left_pos int, right_pos int, similarity double")
 
 
-def _near(sounds: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (later, earlier) whose letters in common allow a similarity of ``threshold``."""
-    units = [_unit(x) for x in sounds]
-    letters = np.stack([np.bincount([ord(c) % 32 for c in x], minlength=32) for x in units]).astype(np.int16)
-    size = np.array([len(x) for x in units])
-    later, earlier = [], []
-    for k in range(1, len(units)):
-        common = np.minimum(letters[:k], letters[k]).sum(1)
-        hit = np.flatnonzero(common >= threshold * np.maximum(size[:k], size[k]) - 1e-9)
-        later.append(np.full(len(hit), k))
-        earlier.append(hit)
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(none + later), np.concatenate(none + earlier)
+class _Keys:
+    """Distinct sound keys of a batch by number: which of two are as alike as ``threshold``, for many pairs at once.
+
+    Keys are compared by their units, where a contained key is as far as the letters that it lacks; so all
+    that decides is the distance, and for units that are equal the fixed 0.95.
+    """
+
+    def __init__(self, sounds: list[str], threshold: float) -> None:
+        self.units = _units(sounds)
+        size = self.size = np.fromiter(map(len, self.units), np.int64, len(sounds))
+        codes, owner, place = _flat(self.units, size)
+        lengths = range(int(size.max(initial=0)) + 1)
+        # the largest distance by the longer length; -1 where nothing is near enough
+        self.allowed = np.array([_reach(n, threshold) for n in lengths])
+        self.least = int(threshold > 0.95)
+        #: letters that a key has to have in common with one that is no longer; two that lack more are too far
+        self.need = (np.array(lengths) - self.allowed)[size].astype(np.float32)
+        bags = np.bincount(owner * 32 + codes % 32, minlength=32 * len(sounds)).reshape(-1, 32)
+        bags = bags[:, bags.any(0)]
+        # products of these sum up to the letters in common, or to more where one letter stands three times
+        self.bag = np.concatenate([bags > 0, bags > 1, np.maximum(bags - 2, 0).sum(1, keepdims=True)], 1).astype(np.float32)
+        letters, letter, n = np.unique(codes, return_inverse=True, return_counts=True)
+        rank = np.empty(len(letters), np.int64)
+        rank[np.argsort(-n, kind="stable")] = np.arange(len(letters))
+        letter, self.letters = rank[letter], min(len(letters), LETTERS)
+        self.odd = size > BITS
+        self.odd[owner[letter >= LETTERS]] = True
+        fit = ~self.odd[owner]
+        owner, place, letter = owner[fit], place[fit], letter[fit]
+        self.text = np.zeros((len(sounds), BITS), np.uint8)
+        self.text[owner, place] = letter
+        self.places = np.zeros(len(sounds) * self.letters, np.uint32)
+        np.bitwise_or.at(self.places, owner * self.letters + letter, np.uint32(1) << place.astype(np.uint32))
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each pair of keys is: all pairs at once along the letters of ``b``, a column of the table in the bits of one number."""
+        out = np.zeros(len(a), bool)
+        odd = self.odd[a] | self.odd[b]
+        for k in np.flatnonzero(odd).tolist():
+            x, y = self.units[a[k]], self.units[b[k]]
+            out[k] = bool(x and y) and self.least <= _distance(x, y) <= self.allowed[max(len(x), len(y))]
+        order = np.flatnonzero(~odd)
+        order = order[np.argsort(self.size[b[order]].astype(np.uint8), kind="stable")]
+        ends = np.searchsorted(self.size[b[order]], np.arange(BITS + 2))
+        for length in range(1, BITS + 1):
+            for low in range(ends[length], ends[length + 1], 8192):
+                some = order[low : min(low + 8192, ends[length + 1])]
+                x, at = a[some], self.text[b[some], :length].T
+                base, size = x * self.letters, self.size[x]
+                up, down = np.full(len(x), 0xFFFFFFFF, np.uint32), np.zeros(len(x), np.uint32)
+                for j in range(length):
+                    up, down = _column(self.places[base + at[j]], up, down)
+                mask = ((np.uint64(1) << size.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+                far = length + np.bitwise_count(up & mask).astype(np.int64) - np.bitwise_count(down & mask)
+                out[some] = (size > 0) & (far >= self.least) & (far <= self.allowed[np.maximum(size, length)])
+        return out | ((a == b) & (self.size[a] > 0))
+
+
+def _column(same, up, down):
+    """The steps down the next column of the table of distances, as bits: where they are +1 and where -1."""
+    one = type(up.flat[0])(1) if isinstance(up, np.ndarray) else 1
+    x = (((same & up) + up) ^ up) | same
+    right, left = down | ~(x | up), up & x
+    right, left, y = (right << one) | one, left << one, same | down
+    return left | ~(y | right), right & y
+
+
+def _distance(a: str, b: str) -> int:
+    """Levenshtein distance of two strings of any length."""
+    places, full = {}, (1 << len(a)) - 1
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    up, down = full, 0
+    for c in b:
+        up, down = _column(places.get(c, 0), up, down)
+        up, down = up & full, down & full
+    return len(b) + up.bit_count() - down.bit_count()
+
+
+def _reach(length: int, threshold: float) -> int:
+    low = max(0, int(length * (1.0 - threshold)) - 1)
+    return max((d for d in range(low, min(low + 4, length + 1)) if length and 1.0 - d / length >= threshold), default=-1)
+
+
+def _flat(keys: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of all keys in one array, with the number of their key and their place in it."""
+    codes = np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32)
+    return codes, np.repeat(np.arange(len(keys)), size), np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _units(sounds: list[str]) -> list[str]:
+    """``_unit`` of each key; only those are looked at whose second half of a repeated unit begins and ends as the first."""
+    size = np.fromiter(map(len, sounds), np.int64, len(sounds))
+    codes, owner, place = _flat(sounds, size)
+    table, seen = np.zeros((len(sounds), BITS), np.uint32), place < BITS
+    table[owner[seen], place[seen]] = codes[seen]
+    maybe = size > BITS
+    for n in range(1, BITS // 2 + 1):
+        maybe |= (size >= 2 * n) & (table[:, n] == table[:, 0]) & (table[:, 2 * n - 1] == table[:, n - 1])
+    out = list(sounds)
+    for k in np.flatnonzero(maybe).tolist():
+        out[k] = _unit(out[k])
+    return out
+
+
+def _near(keys: _Keys, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (later, earlier) of places in ``own`` whose letters in common allow it; each pair once.
+
+    Keys are taken by length, so that the longer of two decides and shorter ones than it allows are left out.
+    """
+    size = keys.size[own]
+    order = np.argsort(size, kind="stable")
+    size, bag, need = size[order], keys.bag[own[order]], keys.need[own[order]]
+    low = 0
+    while low < len(own):
+        high = min(low + max(16, min(ROWS, CELLS // len(own))), len(own))
+        first = int(np.searchsorted(size, need[low]))
+        hit = np.flatnonzero(bag[low:high] @ bag[first:high].T >= need[low:high, None])
+        i, j = np.divmod(hit, high - first)
+        i, j = i + low, j + first
+        i, j = order[i[j < i]], order[j[j < i]]
+        yield np.maximum(i, j), np.minimum(i, j)
+        low = high
+
+
+def _leads(keys: _Keys, groups: list[np.ndarray]) -> list[np.ndarray]:
+    """For each group's keys, in order, the place of the first leader that is alike, or its own."""
+    fits: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    start = np.concatenate([[0], np.cumsum([len(x) for x in groups])]).astype(np.int64)
+    held = 0
+
+    def decide() -> None:
+        a, b, later, earlier = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        fit = keys.alike(a, b)
+        fits.append((later[fit], earlier[fit]))
+        waiting.clear()
+
+    for base, own in zip(start.tolist(), groups, strict=False):
+        for later, earlier in _near(keys, own):
+            waiting.append((own[later], own[earlier], later + base, earlier + base))
+            held += len(later)
+            if held >= PAIRS:
+                decide()
+                held = 0
+    if waiting:
+        decide()
+    lead = np.arange(start[-1])
+    if fits:
+        later, earlier = (np.concatenate(x) for x in zip(*fits, strict=True))
+        order = np.argsort(later * (start[-1] + 1) + earlier)
+        later, earlier = later[order], earlier[order]
+        who, first = np.unique(later, return_index=True)
+        flat, leader = earlier.tolist(), lead.tolist()
+        for k, at, end in zip(who.tolist(), first.tolist(), [*first.tolist(), len(later)][1:], strict=True):
+            for e in flat[at:end]:
+                if leader[e] == e:
+                    leader[k] = e
+                    break
+        lead = np.array(leader)
+    return [lead[a:b] - a for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+
+
+def _numbered(texts: Iterable[Iterable[str]]) -> tuple[list[str], list[np.ndarray]]:
+    """Distinct keys of all texts, and the texts as numbers of those."""
+    number: dict[str, int] = {}
+    groups = [np.array([number.setdefault(x, len(number)) for x in text], np.int64) for text in texts]
+    return list(number), groups
 
 
 def leader_of(texts: list[list[str]], threshold: float) -> list[list[str]]:
     """For each text's sounds, in order, the first leader that is similar enough, or the sound itself."""
-    pairs = [_near(x, threshold) for x in texts]
-    like = _Similarity(similarities)([x[k] for x, (a, _) in zip(texts, pairs, strict=True) for k in a.tolist()], [x[k] for x, (_, b) in zip(texts, pairs, strict=True) for k in b.tolist()])
-    out, low = [], 0
-    for sounds, (later, earlier) in zip(texts, pairs, strict=True):
-        fits = like[low : low + len(later)] >= threshold
-        low += len(later)
-        lead, first = list(range(len(sounds))), np.searchsorted(later[fits], np.arange(len(sounds) + 1))
-        earlier = earlier[fits].tolist()
-        for k in range(len(sounds)):
-            lead[k] = next((e for e in earlier[first[k] : first[k + 1]] if lead[e] == e), k)
-        out.append([sounds[k] for k in lead])
-    return out
+    sounds, groups = _numbered(texts)
+    leads = _leads(_Keys(sounds, threshold), groups) if sounds else groups
+    return [[text[k] for k in lead.tolist()] for text, lead in zip(texts, leads, strict=True)]
+
+
+def leaders_in_texts(songs: DataFrame, by: str, texts: str, threshold: float = 0.65) -> DataFrame:
+    """``leaders`` of the words of each row's array of texts, with ``by``: sound, n and leader.
+
+    A row's words stay in it, so that none is shuffled; keys are made for whole texts and compared for many rows at once.
+    """
+    kind = songs.schema[by].dataType.simpleString()
+
+    def made(keys: list, cleaned: list[str], of: pa.DataType) -> pa.RecordBatch:
+        counts = [collections.Counter(x) for x in sounds_in(cleaned)]
+        # by falling frequency, then by the key: sorting keeps the order of equals
+        sounds, groups = _numbered(sorted(sorted(c), key=c.__getitem__, reverse=True) for c in counts)
+        n = [c[s] for c, own in zip(counts, groups, strict=True) for s in map(sounds.__getitem__, own.tolist())]
+        leads = _leads(_Keys(sounds, threshold), groups) if sounds else groups
+        names, own = pa.array(sounds, pa.string()), np.concatenate([np.zeros(0, np.int64), *groups])
+        lead = np.concatenate([np.zeros(0, np.int64), *(g[x] for g, x in zip(groups, leads, strict=True))])
+        at = np.repeat(np.arange(len(keys)), [len(x) for x in groups])
+        return pa.record_batch([pa.array(keys, of).take(pa.array(at)), names.take(pa.array(own)), pa.array(n, pa.int64()), names.take(pa.array(lead))], [by, "sound", "n", "leader"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, keys, held, size = batch.schema.field(by).type, [], [], 0
+            for key, text in zip(batch.column(by), batch.column("cleaned"), strict=True):
+                keys.append(key.as_py())
+                held.append(text.as_py())
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield made(keys, held, of)
+                    keys, held, size = [], [], 0
+            if keys:
+                yield made(keys, held, of)
+
+    # the work is in the pairs, not in the bytes by which the scan is cut
+    dealt = songs.select(by, texts).repartition(int(songs.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    cleaned = letters_and_spaces(F.concat_ws("\n", texts))
+    return dealt.select(by, cleaned.alias("cleaned")).mapInArrow(run, f"{by} {kind}, sound string, n bigint, leader string")
 
 
 def leaders(tokens: DataFrame, by: list[str], threshold: float = 0.65) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import align
 from ..sources.tables import table
-from .base import words
+from .base import songs
 from .catalog import query
 
 
@@ -24,5 +24,4 @@ def aligned_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sound_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sound key of a document, grouped by leader within the document."""
-    w = words(spark, sf_dir).select("doc_id", T.sound_key(T.normalize_word(F.col("word"))).alias("sound")).filter("sound != ''")
-    return align.leaders(w.groupBy("doc_id", "sound").agg(F.count(F.lit(1)).alias("n")), ["doc_id"])
+    return align.leaders_in_texts(songs(spark, sf_dir), "song", "texts").withColumnRenamed("song", "doc_id")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -142,3 +143,41 @@ def test_standardized_runs_in_proportion(spark):
     at = time.time()
     got = v.select(F.get(V.standardized(F.col("e")), F.lit(0))).first()[0]
     assert time.time() - at < 30 and abs(got + np.sqrt(3 * 1999 / 2001)) < 1e-9
+
+
+def test_sound_clusters_of_odd_texts(spark, tmp_path):
+    """Null and empty texts, shared ids, long keys and letters of many scripts; the words of a document stay in its row."""
+    long = "".join("abk"[k * k % 7 % 3] + "elmo"[k % 4] for k in range(30))
+    many = "".join(chr(0x4E00 + 3 * k) for k in range(150))
+    rows = [(1, f"Xx-x x {long} {long}l l{long[:50]}s Été été"), (1, None), (2, None), (3, ""), (4, f"{many} {many[:140]}l {many[:60]} 12 hr kx"), (None, "de the"), (1, "ete de\x0bde\x00n\xa0n tetete"), (5, "banana bananas nana bana")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    heard = [(i, w) for i, t in rows for w in re.split(r"[ \x0b]+", t or "") if w]
+    heard = spark.createDataFrame(heard, "i long, w string").select("i", T.sound_key(T.normalize_word(F.col("w")))).collect()
+    want = []
+    for i in {r[0] for r in rows}:
+        n, chosen = collections.Counter(s for k, s in heard if k == i and s), []
+        for sound in sorted(n, key=lambda s: (-n[s], s)):
+            lead = next((c for c in chosen if similarity(c, sound) >= 0.65), sound)
+            if lead == sound:
+                chosen.append(sound)
+            want.append((i, sound, n[sound], lead))
+    df = catalog.queries()["sound_clusters"](spark, str(tmp_path))
+    key = lambda r: (r[0] is None, *map(str, r))
+    assert sorted(map(tuple, df.collect()), key=key) == sorted(want, key=key)
+    assert "Generate" not in df._jdf.queryExecution().toString()
+
+
+def test_leaders_of_many_keys():
+    """A text of 2000 keys in parts of the table of letters in common, against pairs one by one."""
+    from cantrix.operators import align
+
+    r = np.random.default_rng(5)
+    sounds = list(dict.fromkeys("".join(r.choice(list("abketilo"), r.integers(1, 9))) for _ in range(2000)))
+    pairs = [(k, e) for k in range(len(sounds)) for e in range(k)]
+    like = dict(zip(pairs, align.similarities([sounds[k] for k, _ in pairs], [sounds[e] for _, e in pairs]) >= 0.65, strict=True))
+    chosen, want = [], []
+    for k, sound in enumerate(sounds):
+        lead = next((e for e in chosen if like[k, e]), k)
+        chosen += [k] * (lead == k)
+        want.append(sounds[lead])
+    assert align.leader_of([[], sounds, sounds[:3]], 0.65) == [[], want, want[:3]]
