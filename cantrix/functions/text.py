@@ -104,8 +104,11 @@ def letters_and_spaces(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\s]+", "")
 
 
-def sounds_in(texts: list[str]) -> list[list[str]]:
-    """``sound_key`` of the words of each text of ``letters_and_spaces``, in order and without empty ones, for all texts in one operation."""
+def sounds_in(texts: list[str], between: str | None = None) -> list[list[str]]:
+    """``sound_key`` of the words of each text of ``letters_and_spaces``, in order, for all texts in one operation.
+
+    Empty keys are left out, but not where what stands ``between`` two words is given.
+    """
     s = reduce(lambda s, p: s.replace(*p), DIGRAPHS, "\0".join(texts))
     table = np.arange(128, dtype=np.uint32)
     for a, b in LETTERS.items():
@@ -115,8 +118,8 @@ def sounds_in(texts: list[str]) -> list[list[str]]:
     codes = np.where(codes < 128, table[codes & 127], codes)
     codes = codes[codes != 127]
     keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != codes[:-1]) | (codes[1:] == ord("x")) | (codes[1:] == 0)
-    return [x.split() for x in codes[keep].tobytes().decode("utf-32-le").replace("x", "ks").split("\0")]
+    keep[1:] = (codes[1:] != codes[:-1]) | (codes[1:] == ord("x")) | (codes[1:] <= 32)
+    return [x.split(between) for x in codes[keep].tobytes().decode("utf-32-le").replace("x", "ks").split("\0")]
 
 
 def folded(key: Column) -> Column:

@@ -19,8 +19,10 @@ from ..functions.text import letters_and_spaces, sound_forms, sound_key, sound_o
 GAP, BASE, MULTI, HALF = 0.15, 0.45, 0.05, 0.3
 #: Words of the left and the right text that a step takes, in the order in which equal scores decide.
 MOVES = ((2, 1), (1, 2), (1, 1), (1, 0), (0, 1))
-#: Pairs of texts that are aligned at once.
-TEXTS = 64
+#: Pairs of texts that are aligned at once, as far as their tables have that many cells together.
+TEXTS, TABLE = 64, 1_000_000
+#: What scores may differ by that are the same but for rounding.
+EPSILON = 1e-6
 #: Letters of texts whose keys are grouped at once, rows and cells of a table of letters in common, and pairs held.
 CHUNK, ROWS, CELLS, PAIRS = 2_000_000, 256, 4_000_000, 1_000_000
 #: Keys of more letters, or with a letter that is not among so many, are compared one by one.
@@ -114,21 +116,6 @@ def _distances(left: list[str], right: list[str]) -> np.ndarray:
     return out / np.maximum(m, n)
 
 
-class _Similarity:
-    """Similarities by key pair for one batch of texts; each distinct pair is computed once."""
-
-    def __init__(self, similarity) -> None:
-        self.similarity = similarity
-
-    def __call__(self, left: list[str], right: list[str]) -> np.ndarray:
-        if not left:
-            return np.zeros(0)
-        (a, names), (b, others) = pd.factorize(np.array(left, object)), pd.factorize(np.array(right, object))
-        code, at = np.unique(a * len(others) + b, return_inverse=True)
-        found = self.similarity([names[k] for k in code // len(others)], [others[k] for k in code % len(others)])
-        return found[at]
-
-
 def align(left: list[str], right: list[str], similarity=None) -> list[tuple[int, int, float]]:
     """Alignment of two word lists by their sound keys; ``similarity`` compares the words themselves instead."""
     if similarity is None:
@@ -136,83 +123,119 @@ def align(left: list[str], right: list[str], similarity=None) -> list[tuple[int,
     return align_keys([([[x] for x in left], list(right))], lambda a, b: np.array([similarity(x, y) for x, y in zip(a, b, strict=True)]))[0]
 
 
-def align_keys(texts: list[tuple[list[list[str]], list[str]]], similarity=similarities) -> list[list[tuple[int, int, float]]]:
+def align_keys(texts: list[tuple[list[list[str]], list[str]]], similarity=None) -> list[list[tuple[int, int, float]]]:
     """Global alignment of each pair of texts: (left, right, similarity) of the words that are coupled.
 
     A left word has one key or more (a number spelled in several languages), of which the one that fits best
     counts. Each skipped word costs ``GAP``, a couple earns its similarity less ``BASE``. Two joined left
     words may couple with one right word, or one with two, at ``MULTI`` less, where one of the two alone has a
     similarity of ``HALF`` at least. Of equal scores the first move of ``MOVES`` wins.
+
+    Couples whose letters in common show that other moves over the same words earn more are left out.
     """
-    sim = _Similarity(similarity)
-    many, rows, cols = len(texts), max((len(x) for x, _ in texts), default=0), max((len(y) for _, y in texts), default=0)
-    one, best = np.full((many, rows, cols), -np.inf), np.zeros((many, rows, cols), np.int64)
-    at, a, b = [], [], []
-    for t, (x, y) in enumerate(texts):
-        for i, forms in enumerate(x):
-            for f, form in enumerate(forms):
-                at.append((t, i, f))
-                a += [form] * len(y)
-                b += y
-    got, low = sim(a, b), 0
-    for t, i, f in at:
-        n = len(texts[t][1])
-        own = got[low : low + n]
-        better = own > one[t, i, :n]
-        one[t, i, :n][better], best[t, i, :n][better] = own[better], f
-        low += n
+    number: dict[str, int] = {}
+    of = lambda x: number.setdefault(x, len(number))
+    lefts = [np.array([of(forms[0]) for forms in x], np.int64) for x, _ in texts]
+    more = [[(i, f, of(forms[f])) for i, forms in enumerate(x) for f in range(1, len(forms))] for x, _ in texts]
+    rights = [np.array([of(w) for w in y], np.int64) for _, y in texts]
+    left_two = [np.array([of(a[0] + b[0]) for a, b in zip(x, x[1:], strict=False)], np.int64) for x, _ in texts]
+    right_two = [np.array([of(a + b) for a, b in zip(y, y[1:], strict=False)], np.int64) for _, y in texts]
+    # a word of several forms is joined in each
+    forms_two = [{(i, f, g): of(p + q) for i in {w + k for w, *_ in m for k in (-1, 0)} if 0 <= i < len(x) - 1 for f, p in enumerate(x[i]) for g, q in enumerate(x[i + 1])} for m, (x, _) in zip(more, texts, strict=True)]
+    names = list(number)
+    keys = _Keys(names) if similarity is None and names else None
+    sim = keys.similar if keys else lambda a, b: np.asarray(similarity([names[k] for k in a.tolist()], [names[k] for k in b.tolist()]), float) if len(a) else np.zeros(0)
+    most = keys.common if keys else lambda a, b: np.full((len(a), len(b)), np.inf)
+
+    many, rows, cols = len(texts), max(map(len, lefts), default=0), max(map(len, rights), default=0)
+    one, best = np.full((many, rows, cols), -np.inf), {}
+    todo = []
+    for t, (x, y) in enumerate(zip(lefts, rights, strict=True)):
+        one[t, : len(x), : len(y)] = 0.0
+        # below this two skipped words cost less
+        want = most(x, y) >= BASE - 2 * GAP - EPSILON
+        want[[i for i, *_ in more[t]]] = True
+        i, j = np.nonzero(want)
+        todo.append((np.full(len(i), t), i, j, x[i], y[j]))
+    if todo:
+        t, i, j, a, b = (np.concatenate(x) for x in zip(*todo, strict=True))
+        one[t, i, j] = sim(a, b)
+    for t, y in enumerate(rights):
+        for i, f, form in more[t]:
+            own = sim(np.full(len(y), form), y)
+            better = own > one[t, i, : len(y)]
+            one[t, i, : len(y)][better] = own[better]
+            best.setdefault((t, i), np.zeros(len(y), np.int64))[better] = f
     two_one, one_two = np.full((many, max(rows - 1, 0), cols), -np.inf), np.full((many, rows, max(cols - 1, 0)), -np.inf)
-    if rows > 1:
-        t, i, j = np.nonzero(np.maximum(one[:, :-1], one[:, 1:]) >= HALF)
-        keep = np.isfinite(one[t, i + 1, j])
-        t, i, j = t[keep], i[keep], j[keep]
-        joined = [texts[p][0][q][best[p, q, r]] + texts[p][0][q + 1][best[p, q + 1, r]] for p, q, r in zip(t.tolist(), i.tolist(), j.tolist(), strict=True)]
-        two_one[t, i, j] = sim(joined, [texts[p][1][r] for p, r in zip(t.tolist(), j.tolist(), strict=True)])
-    if cols > 1:
-        # the form of a number is chosen against both right words together
-        t, i, j = np.nonzero(np.maximum(one[:, :, :-1], one[:, :, 1:]) >= HALF)
-        keep = np.isfinite(one[t, i, j + 1])
-        todo = [(p, q, r, form) for p, q, r in zip(t[keep].tolist(), i[keep].tolist(), j[keep].tolist(), strict=True) for form in texts[p][0][q]]
-        got = sim([form for *_, form in todo], [texts[p][1][r] + texts[p][1][r + 1] for p, _, r, _ in todo])
-        if todo:
-            p, q, r = (np.array(x) for x in zip(*(x[:3] for x in todo), strict=True))
-            np.maximum.at(one_two, (p, q, r), got)
-    return _paths(texts, one, two_one, one_two)
-
-
-def _paths(texts: list, one: np.ndarray, two_one: np.ndarray, one_two: np.ndarray) -> list[list[tuple[int, int, float]]]:
+    todo, others = [], []
+    for t, (x, y) in enumerate(zip(lefts, rights, strict=True)):
+        own, several = one[t, : len(x), : len(y)], sorted({i for i, *_ in more[t]})
+        if len(x) > 1 and len(y):
+            top = np.maximum(own[:-1], own[1:])
+            bound = most(left_two[t], y)
+            bound[[i + k for i in several for k in (-1, 0) if 0 <= i + k < len(x) - 1]] = np.inf
+            i, j = np.nonzero((top >= HALF) & (bound >= top - (GAP - MULTI) - EPSILON))
+            two = left_two[t][i]
+            if several:
+                none = np.zeros(len(y), np.int64)
+                two = np.array([forms_two[t].get((p, best.get((t, p), none)[q], best.get((t, p + 1), none)[q]), w) for p, q, w in zip(i.tolist(), j.tolist(), two.tolist(), strict=True)], np.int64)
+            todo.append((np.full(len(i), t), i, j, two, y[j]))
+        if len(x) and len(y) > 1:
+            # the form of a number is chosen against both right words together
+            top = np.maximum(own[:, :-1], own[:, 1:])
+            bound = most(x, right_two[t])
+            bound[several] = np.inf
+            i, j = np.nonzero((top >= HALF) & (bound >= top - (GAP - MULTI) - EPSILON))
+            others.append((np.full(len(i), t), i, j, x[i], right_two[t][j]))
+            for p, _, form in more[t]:
+                j = np.flatnonzero(top[p] >= HALF)
+                others.append((np.full(len(j), t), np.full(len(j), p), j, np.full(len(j), form), right_two[t][j]))
+    for held, out in ((todo, two_one), (others, one_two)):
+        if held:
+            t, i, j, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            np.maximum.at(out, (t, i, j), sim(a, b))
+    return _paths([(len(x), len(y)) for x, y in zip(lefts, rights, strict=True)], one, two_one, one_two)
+
+
+def _paths(sizes: list[tuple[int, int]], one: np.ndarray, two_one: np.ndarray, one_two: np.ndarray) -> list[list[tuple[int, int, float]]]:
+    """The couples of the best path of each text; the cells of a diagonal are computed at once, for all texts."""
     many, rows, cols = one.shape
-    score = np.zeros((rows + 1, cols + 1, many))
     move = np.zeros((rows + 1, cols + 1, many), np.int8)
-    one, two_one, one_two = (np.moveaxis(x, 0, 2).copy() for x in (one, two_one, one_two))
-    for i in range(rows + 1):
-        for j in range(cols + 1):
-            if not i and not j:
+    sims = {(1, 1): one, (2, 1): two_one, (1, 2): one_two}
+    earned = {step: np.ascontiguousarray(np.moveaxis(x, 0, 2)) - BASE for step, x in sims.items()}
+    before: list[np.ndarray] = [np.zeros((rows + 1, many))]
+    for d in range(1, rows + cols + 1):
+        low, high = max(0, d - cols), min(rows, d)
+        top, own = np.full((high - low + 1, many), -np.inf), np.zeros((high - low + 1, many), np.int8)
+        for number, (di, dj) in enumerate(MOVES):
+            # rows i from which i - di and d - i - dj are both there
+            a, b = max(low, di), min(high, d - dj)
+            if a > b or di + dj > len(before):
                 continue
-            top, own = np.full(many, -np.inf), np.zeros(many, np.int8)
-            for number, (di, dj) in enumerate(MOVES):
-                if i < di or j < dj:
-                    continue
-                value = score[i - di, j - dj]
-                if di and dj:
-                    sims = one if di == dj else two_one if di > dj else one_two
-                    value = value + (sims[i - di, j - dj] - BASE)
-                    if di != dj:
-                        value = value - MULTI
-                else:
-                    value = value - GAP
-                better = value > top
-                top = np.where(better, value, top)
-                own[better] = number
-            score[i, j], move[i, j] = top, own
+            value = before[-di - dj][a - di : b - di + 1]
+            if di and dj:
+                i = np.arange(a - di, b - di + 1)
+                value = value + earned[di, dj][i, d - di - dj - i]
+                if di != dj:
+                    value = value - MULTI
+            else:
+                value = value - GAP
+            at = slice(a - low, b - low + 1)
+            better = value > top[at]
+            np.copyto(top[at], value, where=better)
+            own[at][better] = number
+        i = np.arange(low, high + 1)
+        move[i, d - i] = own
+        now = np.full((rows + 1, many), -np.inf)
+        now[low : high + 1] = top
+        before = [*before[-2:], now]
     out = []
-    for t, (x, y) in enumerate(texts):
-        i, j, pairs = len(x), len(y), []
+    for t, (i, j) in enumerate(sizes):
+        pairs, steps = [], move[: i + 1, : j + 1, t]
         while i or j:
-            di, dj = MOVES[move[i, j, t]]
+            di, dj = MOVES[steps[i, j]]
             if di and dj:
-                sims = one if di == dj else two_one if di > dj else one_two
-                s = float(sims[i - di, j - dj, t])
+                s = float(sims[di, dj][t, i - di, j - dj])
                 pairs += [(i - 1 - p, j - 1 - q, s) for p in range(di) for q in range(dj)]
             i, j = i - di, j - dj
         out.append(sorted(pairs))
@@ -222,26 +245,43 @@ def _paths(texts: list, one: np.ndarray, two_one: np.ndarray, one_two: np.ndarra
 def aligned(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """key, left_pos, right_pos, similarity for each couple of words of each row's two arrays, by their sound keys.
 
-    Keys are made by expressions; the alignment runs over batches of ``TEXTS`` pairs of texts, each cell of
-    the table for all of them at once. A null array is an empty text; an empty text couples with nothing.
+    The alignment runs over batches of ``TEXTS`` pairs of texts, each diagonal of the table for all of them at once. A null array is an empty text; an empty text couples with nothing.
     """
     kind = pairs.schema[key].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
-            pdf = pdf.assign(size=[len(x) * len(y) for x, y in zip(pdf["l"], pdf["r"], strict=True)]).sort_values("size", kind="stable")
-            for low in range(0, len(pdf), TEXTS):
-                some = pdf.iloc[low : low + TEXTS]
-                texts = [([list(f) for f in x], list(y)) for x, y in zip(some["l"], some["r"], strict=True)]
-                rows = [(k, i, j, s) for k, found in zip(some[key], align_keys(texts), strict=True) for i, j, s in found]
-                yield pd.DataFrame(rows, columns=[key, "left_pos", "right_pos", "similarity"])
+            lefts, rights = ([of(*x) for x in zip(pdf[c], sounds_in(pdf[f"{c}_text"].tolist(), "\n"), pdf[f"{c}_n"], strict=True)] for c in ("l", "r"))
+            texts = [([[w] if isinstance(w, str) else [f or "" for f in w] for w in x], [w or "" for w in y]) for x, y in zip(lefts, rights, strict=True)]
+            # tables of like shape are put together
+            order = sorted(range(len(texts)), key=lambda k: (len(texts[k][0]) // 8, len(texts[k][1])))
+            names, low = pdf[key].tolist(), 0
+            while low < len(order):
+                high, rows, cols = low, 0, 0
+                while high < min(low + TEXTS, len(order)):
+                    x, y = texts[order[high]]
+                    rows, cols = max(rows, len(x)), max(cols, len(y))
+                    if high > low and rows * cols * (high + 1 - low) > TABLE:
+                        break
+                    high += 1
+                some = order[low:high]
+                out = [(names[k], *found) for k, own in zip(some, align_keys([texts[k] for k in some]), strict=True) for found in own]
+                yield pd.DataFrame(out, columns=[key, "left_pos", "right_pos", "similarity"])
+                low = high
+
+    def of(made, text: list[str], n: int) -> list:
+        return list(made) if made is not None else text if n else []
 
     empty = F.array().cast("array<string>")
-    forms = F.transform(F.coalesce(left, empty), sound_forms)
-    keys = F.transform(F.coalesce(right, empty), lambda x: sound_key(x, spell_numbers=True))
     # the work is in the cells, not in the bytes by which partitions would be put together
-    texts = pairs.select(key, left, right).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return texts.select(key, forms.alias("l"), keys.alias("r")).mapInPandas(run, f"{key} {kind}, left_pos int, right_pos int, similarity double")
+    texts = pairs.select(key, F.coalesce(left, empty).alias("l"), F.coalesce(right, empty).alias("r")).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    columns = [key]
+    for c, keys in (("l", sound_forms), ("r", lambda x: sound_key(x, spell_numbers=True))):
+        joined = F.array_join(F.transform(c, lambda x: F.replace(F.coalesce(x, F.lit("")), F.lit("\n"), F.lit(""))), "\n")
+        # keys are made for whole texts, but word by word where a number may be spelled
+        plain = ~joined.rlike("[0-9]")
+        columns += [F.when(~plain, F.transform(c, keys)).alias(c), F.when(plain, F.regexp_replace(F.lower(joined), r"[^\p{L}\n]+", "")).otherwise("").alias(f"{c}_text"), F.size(c).alias(f"{c}_n")]
+    return texts.select(*columns).mapInPandas(run, f"{key} {kind}, left_pos int, right_pos int, similarity double")
 
 
 class _Keys:
@@ -251,7 +291,7 @@ class _Keys:
     that decides is the distance, and for units that are equal the fixed 0.95.
     """
 
-    def __init__(self, sounds: list[str], threshold: float) -> None:
+    def __init__(self, sounds: list[str], threshold: float = 0.65) -> None:
         self.units = _units(sounds)
         size = self.size = np.fromiter(map(len, self.units), np.int64, len(sounds))
         codes, owner, place = _flat(self.units, size)
@@ -279,27 +319,50 @@ class _Keys:
         np.bitwise_or.at(self.places, owner * self.letters + letter, np.uint32(1) << place.astype(np.uint32))
 
     def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether each pair of keys is: all pairs at once along the letters of ``b``, a column of the table in the bits of one number."""
-        out = np.zeros(len(a), bool)
+        """Whether each pair of keys is."""
+        size, other = self.size[a], self.size[b]
+        far = self.distances(a, b)
+        return (size > 0) & (other > 0) & ((far >= self.least) & (far <= self.allowed[np.maximum(size, other)]) | (a == b))
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``similarities`` of each pair of keys."""
+        size, other = self.size[a], self.size[b]
+        short, long, far = np.minimum(size, other), np.maximum(np.maximum(size, other), 1), self.distances(a, b)
+        out, share = 1.0 - far / long, short / long
+        # a contained key lacks the other letters, and only the rounding differs
+        for k in np.flatnonzero((far == long - short) & (short >= 3) & (share != out)).tolist():
+            x, y = sorted((self.units[a[k]], self.units[b[k]]), key=len)
+            if x in y:
+                out[k] = share[k]
+        out[far == 0] = 0.95
+        out[a == b] = 1.0
+        out[short == 0] = 0.0
+        return out
+
+    def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Levenshtein distance of each pair of units: all pairs at once along the letters of ``b``, a column of the table in the bits of one number."""
+        out = np.zeros(len(a), np.int64)
         odd = self.odd[a] | self.odd[b]
         for k in np.flatnonzero(odd).tolist():
-            x, y = self.units[a[k]], self.units[b[k]]
-            out[k] = bool(x and y) and self.least <= _distance(x, y) <= self.allowed[max(len(x), len(y))]
+            out[k] = _distance(self.units[a[k]], self.units[b[k]])
         order = np.flatnonzero(~odd)
         order = order[np.argsort(self.size[b[order]].astype(np.uint8), kind="stable")]
         ends = np.searchsorted(self.size[b[order]], np.arange(BITS + 2))
-        for length in range(1, BITS + 1):
+        for length in range(BITS + 1):
             for low in range(ends[length], ends[length + 1], 8192):
                 some = order[low : min(low + 8192, ends[length + 1])]
                 x, at = a[some], self.text[b[some], :length].T
-                base, size = x * self.letters, self.size[x]
+                base = x * self.letters
                 up, down = np.full(len(x), 0xFFFFFFFF, np.uint32), np.zeros(len(x), np.uint32)
                 for j in range(length):
                     up, down = _column(self.places[base + at[j]], up, down)
-                mask = ((np.uint64(1) << size.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
-                far = length + np.bitwise_count(up & mask).astype(np.int64) - np.bitwise_count(down & mask)
-                out[some] = (size > 0) & (far >= self.least) & (far <= self.allowed[np.maximum(size, length)])
-        return out | ((a == b) & (self.size[a] > 0))
+                mask = ((np.uint64(1) << self.size[x].astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+                out[some] = length + np.bitwise_count(up & mask).astype(np.int64) - np.bitwise_count(down & mask)
+        return out
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each of ``a`` with each of ``b`` the letters in common over the longer length: no similarity is above it."""
+        return (self.bag[a] @ self.bag[b].T) / np.maximum(np.maximum(self.size[a][:, None], self.size[b]), 1)
 
 
 def _column(same, up, down):

@@ -181,3 +181,32 @@ def test_leaders_of_many_keys():
         chosen += [k] * (lead == k)
         want.append(sounds[lead])
     assert align.leader_of([[], sounds, sounds[:3]], 0.65) == [[], want, want[:3]]
+
+
+def test_alignment_of_odd_keys():
+    """Empty, long and foldable keys, whose couples are left out only where they cannot be taken."""
+    import random
+
+    from test_operators import plain_align
+
+    from cantrix.operators import align
+
+    r = random.Random(11)
+    vocabulary = ["", "a", "ka", "kaka", "kakak", "lo", "tikol", "tiko", "abket" * 7 + "l", "abket" * 8 + "lo", "".join("abkl"[k * k % 7 % 4] for k in range(40)), *(chr(0x4E00 + k) + "tik" for k in range(140))]
+    texts = [([r.choice(vocabulary[: r.choice([7, 11, 151])]) for _ in range(r.randint(0, 9))], [r.choice(vocabulary) for _ in range(r.randint(0, 9))]) for _ in range(60)]
+    found = align.align_keys([([[x] for x in a], b) for a, b in [*texts, ([], vocabulary)]])
+    for got, (a, b) in zip(found, texts, strict=False):
+        assert got == [(i, j, float(x)) for i, j, x in plain_align(a, b)]
+
+
+def test_alignment_runs_along_diagonals():
+    """A table of 360,000 cells is not computed cell by cell."""
+    import time
+
+    from cantrix.operators import align
+
+    r = np.random.default_rng(2)
+    left = ["".join(r.choice(list("abketilo"), 6)) for _ in range(600)]
+    at = time.time()
+    found = align.align_keys([([[x] for x in left], left[1:])])[0]
+    assert time.time() - at < 8 and [(k, k - 1, 1.0) for k in range(1, 600)] == found
