@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import json as pj
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +18,49 @@ INTERVAL = "struct<start:double,stop:double,label:string>"
 LINE = "struct<text:string,start:double,stop:double,quality:string,crowd:boolean,background:boolean,disabled:boolean,pieces:array<struct<text:string,start:double,stop:double,stress:boolean>>>"
 
 
+#: ``CLUSTER`` in Arrow's terms, without what occurrences hold besides.
+OCCURRENCE = pa.struct([("start", pa.float64()), ("stop", pa.float64()), ("text", pa.string()), ("confidence", pa.float64()), ("segment", pa.int64())])
+CLUSTERS = pa.schema([("id", pa.int64()), ("label", pa.string()), ("members", pa.list_(pa.struct([("text", pa.string()), ("count", pa.int64())]))), ("occurrences", pa.list_(OCCURRENCE)), ("segments", pa.list_(pa.int64()))])
+
+
+def cluster_lines(ids: list[int], sizes: list[int], text: list[str], start: list[float], stop: list[float], confidence: list[float], segment: list[int]) -> Iterator[str]:
+    """Clusters as JSON, a line each; those of ``sizes`` take their occurrences from the lists in turn. The least text is the label, segments ascend."""
+    write = json.JSONEncoder(ensure_ascii=False).encode
+    # most values occur more than once
+    quoted, written = {w: write(w) for w in set(text)}, {x: repr(x) for x in {*start, *stop, *confidence}}
+    each = [f'{{"start":{written[a]},"stop":{written[b]},"text":{quoted[w]},"confidence":{written[c]},"segment":{s}}}' for a, b, w, c, s in zip(start, stop, text, confidence, segment, strict=True)]
+    low = 0
+    for number, n in zip(ids, sizes, strict=True):
+        high = low + n
+        label, segments = quoted[min(text[low:high])], ",".join(map(str, sorted(set(segment[low:high]))))
+        yield f'{{"id":{number},"label":{label},"members":[{{"text":{label},"count":{n}}}],"occurrences":[{",".join(each[low:high])}],"segments":[{segments}]}}'
+        low = high
+
+
+def clusters_of(lines: list[str]) -> pa.Table:
+    """``cluster_of`` for many lines at once, outside Spark."""
+    if not lines:
+        return CLUSTERS.empty_table()
+    held = "\n".join(lines).encode()
+    # a block ends with a line, so the longest line has to fit
+    read = pj.ReadOptions(use_threads=False, block_size=len(held) + 1)
+    return pj.read_json(pa.BufferReader(held), read, pj.ParseOptions(explicit_schema=CLUSTERS, unexpected_field_behavior="ignore")).combine_chunks()
+
+
+def cluster_figures(clusters: pa.Table) -> dict[str, pa.Array]:
+    """id, label, members (their first count), mean confidence, first start, last stop and number of segments of each cluster with occurrences."""
+    column = lambda name: clusters.column(name).combine_chunks()
+    occurrences, members = column("occurrences"), column("members")
+    sizes = occurrences.value_lengths().to_numpy()
+    flat, low = occurrences.flatten(), np.cumsum(sizes) - sizes
+    of = lambda name: flat.field(name).to_numpy()
+    mean = np.bincount(np.repeat(np.arange(len(sizes)), sizes), of("confidence"), len(sizes)) / sizes
+    return {
+        "id": column("id"), "label": column("label"), "members": pc.list_element(members, 0).field("count"), "mean": pa.array(mean),
+        "first": pa.array(np.minimum.reduceat(of("start"), low)), "last": pa.array(np.maximum.reduceat(of("stop"), low)), "segments": column("segments").value_lengths().cast(pa.int64()),
+    }
+
+
 def cluster_of(json: Column) -> Column:
     """A cluster from JSON; missing segments are none, an occurrence without segment has -1. Null where the text is no JSON."""
     c = F.from_json(json, CLUSTER)

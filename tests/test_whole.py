@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import re
 
 import numpy as np
@@ -210,3 +211,36 @@ def test_alignment_runs_along_diagonals():
     at = time.time()
     found = align.align_keys([([[x] for x in left], left[1:])])[0]
     assert time.time() - at < 8 and [(k, k - 1, 1.0) for k in range(1, 600)] == found
+
+
+def test_clusters_through_json_of_odd_texts(spark, tmp_path, monkeypatch):
+    """Words that JSON has to escape, null and empty texts, shared ids; a cluster is written once and no word is shuffled."""
+    from cantrix.plans import nested
+
+    monkeypatch.setattr(nested, "CHUNK", 40)
+    rows = [(1, 'say "hi" a\\b \x01c d e \U0001f600 {"id":1} /n é'), (1, "two texts one"), (2, None), (3, ""), (4, " \t\n"), (None, "de the de"), (5, "a b\x00 c " * 30), (6, "x" * 5000 + " y")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    held = collections.defaultdict(list)
+    for i, text in rows:
+        for pos, w in enumerate((w for w in re.split(r"[ \t\n\x0b\f\r]+", text or "") if w), 1):
+            n = len(w)
+            start = pos * 400 + n * 37 % 150
+            held[i, n].append((w, start / 1000, (start + 100 + 60 * n) / 1000, (pos - 1) // 8))
+    want = [(i, n, min(h)[0], len(h), n * 7 % 10 / 10, min(x[1] for x in h), max(x[2] for x in h), len({x[3] for x in h})) for (i, n), h in held.items()]
+    df = catalog.queries()["clusters_through_json"](spark, str(tmp_path))
+    key = lambda r: (r[0] is None, *map(str, r))
+    assert sorted(map(tuple, df.collect()), key=key) == sorted(want, key=key)
+    plan = df._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "from_json" not in plan
+
+
+def test_clusters_are_read_as_written():
+    """What is missing is null or none, what is not asked for is left out."""
+    from cantrix.sources import nested
+
+    lines = list(nested.cluster_lines([3, 5], [2, 1], ['b"c', "a\\b", "hello"], [0.4, 1.25, 2.0], [0.7, 1.5, 2.4], [0.1, 0.3, 0.5], [4, 0, 7]))
+    assert [json.loads(x)["segments"] for x in lines] == [[0, 4], [7]]
+    table = nested.clusters_of([*lines, '{"id":9,"other":{"x":1},"occurrences":[]}'])
+    assert [{k: v for k, v in r.items() if v is not None} for r in table.to_pylist()] == [*map(json.loads, lines), {"id": 9, "occurrences": []}]
+    figures = {k: v.to_pylist() for k, v in nested.cluster_figures(table.slice(0, 2)).items()}
+    assert figures == {"id": [3, 5], "label": ["a\\b", "hello"], "members": [2, 1], "mean": [0.2, 0.5], "first": [0.4, 2.0], "last": [1.5, 2.4], "segments": [2, 1]}
