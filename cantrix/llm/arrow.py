@@ -76,20 +76,31 @@ def scratch(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/cantrix-checkpoints"
 
 
-#: Rows of an Arrow batch while ``cut`` writes: whole texts are held several times over. An own setting of the session is kept.
-ROWS, DEFAULT_ROWS = "2048", "10000"
+#: Settings that decide how many whole texts are held at once, with Spark's default and what is set in its place:
+#: rows and bytes of an Arrow batch, rows that a Parquet reader holds. Every row passes either way.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2048"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", f"{4 << 20}b"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+}
+
+
+def bound_batches(spark: SparkSession) -> dict[str, str]:
+    """Set ``BATCHES`` and return what held before. An own setting of the session is kept."""
+    before = {name: default for name, (default, _) in BATCHES.items() if spark.conf.get(name, default) == default}
+    for name in before:
+        spark.conf.set(name, BATCHES[name][1])
+    return before
 
 
 @contextlib.contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if before == DEFAULT_ROWS:
-        spark.conf.set(name, ROWS)
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    before = bound_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -100,7 +111,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/cantrix-{uuid.uuid4().hex}"
-    with _small_batches(spark):
+    with small_batches(spark):
         df.write.parquet(path)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)

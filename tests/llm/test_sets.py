@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -290,3 +291,35 @@ def test_near_duplicates_are_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert collections.Counter(got) == collections.Counter([rows[3], rows[1], rows[5], rows[7], rows[8], rows[9]])
+
+
+def test_stages_bound_what_is_held_of_texts(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from cantrix.llm.arrow import BATCHES
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    texts = spark.range(6000, numPartitions=1).selectExpr("id doc_id", "repeat(concat(id, ' x '), 500) text", "'en' lang", "'s' source", "1L n_chars")
+    texts.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.dedup_lines, corpus_pipeline.pack_windows):
+        for name, (default, _) in BATCHES.items():
+            spark.conf.set(name, default)
+        stage(spark, docs, str(tmp_path))
+        got = docs.select("text").mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in got) == 6000 and max(r["bytes"] for r in got) < 5 << 20
+        assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "512"
+    for name, (default, _) in BATCHES.items():
+        spark.conf.set(name, default)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[:1])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert all(spark.conf.get(name) == default for name, (default, _) in BATCHES.items())
+    # an own setting of the session stays
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "77")
+    corpus_pipeline.dedup_lines(spark, docs, "")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "77"
+    for name in BATCHES:
+        spark.conf.unset(name)
