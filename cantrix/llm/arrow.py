@@ -76,20 +76,31 @@ def scratch(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/cantrix-checkpoints"
 
 
-#: Settings that decide how many whole texts are held at once, with Spark's default and what is set in its place:
-#: rows and bytes of an Arrow batch, rows that a Parquet reader holds. Every row passes either way.
+#: Settings that decide how much is held at once, with the default and what is set in its place: rows and bytes of an
+#: Arrow batch, rows that a Parquet reader holds; then Parquet's own. Vectored reads pass a column chunk through direct
+#: buffers as long as it, which their threads keep; other reads take it in pieces. Row groups and pages are short, also
+#: where rows are long: compressors keep direct buffers of the longest page. Every row passes either way.
 BATCHES = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2048"),
     "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", f"{4 << 20}b"),
     "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+    "parquet.hadoop.vectored.io.enabled": ("true", "false"),
+    "parquet.read.allocation.size": (f"{8 << 20}", f"{1 << 18}"),
+    "parquet.block.size": (f"{128 << 20}", f"{16 << 20}"),
+    "parquet.page.size": (f"{1 << 20}", f"{1 << 18}"),
+    "parquet.page.size.row.check.min": ("100", "8"),
 }
 
 
-def bound_batches(spark: SparkSession) -> dict[str, str]:
-    """Set ``BATCHES`` and return what held before. An own setting of the session is kept."""
-    before = {name: default for name, (default, _) in BATCHES.items() if spark.conf.get(name, default) == default}
-    for name in before:
-        spark.conf.set(name, BATCHES[name][1])
+def bound_batches(spark: SparkSession) -> dict[str, str | None]:
+    """Set ``BATCHES`` and return what held before. An own setting of the session, or of Hadoop's, is kept."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    before = {}
+    for name, (default, small) in BATCHES.items():
+        own = spark.conf.get(name, None)
+        if own == default or own is None and hadoop.get(name) is None:
+            before[name] = own
+            spark.conf.set(name, small)
     return before
 
 
@@ -100,7 +111,10 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for name, value in before.items():
-            spark.conf.set(name, value)
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -323,3 +323,34 @@ def test_stages_bound_what_is_held_of_texts(spark, tmp_path, monkeypatch):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "77"
     for name in BATCHES:
         spark.conf.unset(name)
+
+
+def test_stages_hold_no_column_chunk_outside_the_heap(spark, tmp_path):
+    """A column chunk of 40 MB is read in pieces, and what a stage writes has short row groups and pages."""
+    import pyarrow.parquet as pq
+
+    import corpus_pipeline
+    from cantrix.llm.arrow import BATCHES, small_batches
+
+    pool = getattr(getattr(spark._jvm.org.apache.spark.metrics, "DirectPoolMemory$"), "MODULE$")
+    rng = np.random.default_rng(5)
+    texts = [rng.bytes(10_000).hex() for _ in range(2000)]
+    table = pa.table({"doc_id": range(2000), "text": texts, "lang": ["en"] * 2000, "source": ["s"] * 2000, "n_chars": [20_000] * 2000})
+    pq.write_table(table, tmp_path / "documents.parquet", row_group_size=2000, use_dictionary=False, compression="none")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    before = pool.getMetricValues(None)[0]
+    corpus_pipeline.dedup_lines(spark, docs, "").write.parquet(f"{tmp_path}/out")
+    assert pool.getMetricValues(None)[0] - before < 16 << 20
+    assert sorted(pq.read_table(tmp_path / "out", columns=["text"])["text"].to_pylist()) == sorted(texts)
+    groups = [m.row_group(i).total_byte_size for f in (tmp_path / "out").glob("*.parquet") for m in [pq.read_metadata(f)] for i in range(m.num_row_groups)]
+    assert max(groups) < 20 << 20
+    for name in BATCHES:
+        spark.conf.unset(name)
+    # settings that were not made are not made afterwards, and one of Hadoop's is kept
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.size", "33554432")
+    with small_batches(spark):
+        assert spark.conf.get("parquet.page.size") == str(1 << 18)
+        assert spark.conf.get("parquet.block.size", None) is None
+    assert all(spark.conf.get(name, None) is None for name in BATCHES if name.startswith("parquet."))
+    hadoop.unset("parquet.block.size")
